@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import bounded_batches, checkpoint, sized
+from .session import Written, bounded_batches, checkpoint, sized
 from .textblock import LOWER, NOT_SPACE, U, blocks, distinct, mix, prefix_hash, shingles, span_hash, words
 
-#: The sketch has 2**SKETCH_BITS counters (4 bytes each: 16 MB), sent about in CHUNKS parts.
-SKETCH_BITS, CHUNKS = 22, 256
+#: The sketch has 2**SKETCH_BITS counters (4 bytes each: 4 MB), sent about in CHUNKS parts.
+SKETCH_BITS, CHUNKS = 20, 64
 #: Longest multi-match: l goes from 1 to this.
 MAX_MATCHES = 4
 #: Cost of comparing two sets, in prefix entries read.
@@ -91,8 +91,7 @@ def _sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
                 table += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
                 some += len(h)
         if some:
-            slot = int(table[: 1 << 12].sum() + some) % 64
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "slot": pa.array([slot] * CHUNKS, pa.int32()), "part": pa.array([table[k * width : (k + 1) * width].tobytes() for k in range(CHUNKS)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "slot": pa.array([some % 16] * CHUNKS, pa.int32()), "part": pa.array([table[k * width : (k + 1) * width].tobytes() for k in range(CHUNKS)], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -106,15 +105,15 @@ def _sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
     kind = "chunk int, slot int, part binary"
     parts = docs.select(text_col).mapInArrow(count, kind)
-    some = parts.repartition("chunk", "slot").mapInArrow(add, kind)
     table = np.zeros(size, np.uint64)
-    for row in some.repartition("chunk").mapInArrow(add, kind).toLocalIterator():
+    # no more than 16 sums of each chunk reach the driver
+    for row in parts.repartition("chunk", "slot").mapInArrow(add, kind).toLocalIterator():
         table[row.chunk * width : (row.chunk + 1) * width] += np.frombuffer(row.part, np.uint32)
     return np.minimum(table, 2**32 - 1).astype(np.uint32)
 
 
 def _postings(docs: DataFrame, text_col: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """token, s (fingerprint), n (set size), l of every prefix entry of every class."""
+    """token, s (fingerprint), nl (set size times 8, plus l) of every prefix entry of every class."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +144,9 @@ def _postings(docs: DataFrame, text_col: str, n: int, percent: int, counts: np.n
                 chosen[once] = True
                 kept = kept & (rank < length[row]) & chosen[row]
                 at = row[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), pa.array(print_[at]), pa.array(size[at].astype(np.int32)), pa.array(l_of[at].astype(np.int32))], names=["token", "s", "n", "l"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), pa.array(print_[at]), pa.array(size[at] * 8 + l_of[at])], names=["token", "s", "nl"])
 
-    return docs.select(text_col).mapInArrow(emit, "token long, s long, n int, l int")
+    return docs.select(text_col).mapInArrow(emit, "token long, s long, nl long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,11 +194,15 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = checkpoint(docs.mapInArrow(describe, f"id {kind}, s long, n int"))
     classes = rows.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("least"))
 
-    entries = _postings(docs, "text", n, percent, _sketch(docs, "text", n))
-    entries = checkpoint(entries)
-    node = F.struct("s", "n")
-    lists = entries.groupBy("token").agg(F.min(node).alias("pivot"), F.max(node).alias("other"))
-    shared = checkpoint(entries.join(lists.where("pivot != other").select("token", "pivot"), "token").withColumn("node", node).select("token", "pivot", "node", "l").distinct())
+    entries = Written(_postings(docs, "text", n, percent, _sketch(docs, "text", n)))
+    # entries that stand alone meet no other; the rest is small
+    often = entries.df.groupBy("token").count().where("count > 1").select("token")
+    node = F.struct("s", F.shiftright("nl", 3).cast("int").alias("n"))
+    met = Written(entries.df.join(often, "token").select("token", node.alias("node"), F.col("nl").bitwiseAND(7).cast("int").alias("l")).distinct())
+    entries.drop()
+    lists = met.df.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other")
+    shared = checkpoint(met.df.join(lists.select("token", "pivot"), "token"))
+    met.drop()
 
     # each class and the pivot with which it shares most
     fits = F.col("b.n") * 100 >= F.col("a.n") * percent
