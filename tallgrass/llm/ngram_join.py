@@ -4,14 +4,15 @@ Every text is a set of hashed word shingles. All sets are put in one global orde
 first. With a similarity of at least t, a set of n shingles shares at least ceil(t * n) with any
 partner, so both share at least l shingles of their first n - ceil(t * n) + l (the l-prefix). Each
 document takes the l from 1 to MAX_MATCHES whose estimated cost is least: entries to be read in the prefix,
-and sets to be compared, of which a longer prefix with more matches leaves fewer. Two documents
-are compared if their prefixes share at least the smaller of their two l; this is exact.
+and sets to be compared, of which a longer prefix with more matches leaves fewer. Two sets of n and m
+are compared if they share at least the smaller of their two l in their first n - a + l and m - a + l, where
+a is the overlap that sets of these two sizes need; this is exact, and a part of both prefixes.
 
 Rare-first needs frequencies. They come from a sketch of fixed size over all texts; as any order
 that all documents share is right, collisions in the sketch cost time and never a link.
 
-Documents of equal sets are one class. In each prefix entry's list the least class is a pivot; a
-class is compared with the pivot it shares most entries with, and classes linked so are labelled
+Documents of equal sets are one class. In each prefix entry's list the pivot is the class whose prefix entries are
+shared most (of near copies, the one edited least); a class is compared with the pivot it shares most entries with, and classes linked so are labelled
 alike. Only pairs of different labels need the full join: pairs inside a label are connected
 already, so a large group of near copies costs as many comparisons as it has members.
 
@@ -61,7 +62,8 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 def choose_prefixes(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """The l of each row. counts: of the first n - least_overlap(n) + MAX_MATCHES entries of each row in the
     global order, as a matrix padded with 0; sizes: n."""
-    base = sizes - least_overlap(sizes, percent)
+    # against a partner of its own size only so many entries count, less l
+    base = sizes + -2 * sizes * percent // (100 + percent)
     best = np.ones(len(sizes), np.int64)
     read = np.concatenate([np.zeros((len(sizes), 1)), np.cumsum(counts, axis=1)], axis=1)
     least = None
@@ -113,7 +115,7 @@ def _sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, text_col: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """token, s (fingerprint), nl (set size times 8, plus l) of every prefix entry of every class."""
+    """token, s (fingerprint), nl (set size times 8, plus l) and p (rank in the order) of every prefix entry of every class."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +146,9 @@ def _postings(docs: DataFrame, text_col: str, n: int, percent: int, counts: np.n
                 chosen[once] = True
                 kept = kept & (rank < length[row]) & chosen[row]
                 at = row[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), pa.array(print_[at]), pa.array(size[at] * 8 + l_of[at])], names=["token", "s", "nl"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), pa.array(print_[at]), pa.array(size[at] * 8 + l_of[at]), pa.array(rank[kept].astype(np.int32))], names=["token", "s", "nl", "p"])
 
-    return docs.select(text_col).mapInArrow(emit, "token long, s long, nl long")
+    return docs.select(text_col).mapInArrow(emit, "token long, s long, nl long, p int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,10 +200,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # entries that stand alone meet no other; the rest is small
     often = entries.df.groupBy("token").count().where("count > 1").select("token")
     node = F.struct("s", F.shiftright("nl", 3).cast("int").alias("n"))
-    met = Written(entries.df.join(often, "token").select("token", node.alias("node"), F.col("nl").bitwiseAND(7).cast("int").alias("l")).distinct())
+    met = Written(entries.df.join(often, "token").select("token", node.alias("node"), F.col("nl").bitwiseAND(7).cast("int").alias("l"), "p").distinct())
     entries.drop()
-    lists = met.df.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other")
-    shared = checkpoint(met.df.join(lists.select("token", "pivot"), "token"))
+    # how many of a class's prefix entries are shared, as a part of all
+    length = F.col("node.n") - F.ceil(F.col("node.n") * percent / 100) + F.col("l")
+    hub = met.df.groupBy("node").agg((F.count("*") / F.max(length)).alias("hub"))
+    scored = met.df.join(hub, "node")
+    lists = scored.groupBy("token").agg(F.max(F.struct("hub", "node")).alias("top"), F.count("*").alias("c")).where("c > 1")
+    shared = checkpoint(met.df.join(lists.select("token", F.col("top.node").alias("pivot")), "token"))
     met.drop()
 
     # each class and the pivot with which it shares most
@@ -229,12 +235,15 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     labels = connected_components(edge(first))
 
     # the full join, between classes of different labels
-    marked = shared.select("token", "node", "l").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    marked = shared.select("token", "node", "l", "p").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
     marked = checkpoint(marked.join(mixed, "token"))
-    left = marked.select("token", F.col("node").alias("a"), F.col("l").alias("la"), F.col("component").alias("ca"))
-    right = marked.select("token", F.col("node").alias("b"), F.col("l").alias("lb"), F.col("component").alias("cb"))
-    met = left.join(right, (left["token"] == right["token"]) & (left["ca"] != right["cb"]) & fits & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.s") > F.col("b.s")))))
+    left = marked.select("token", F.col("node").alias("a"), F.col("l").alias("la"), F.col("p").alias("pa"), F.col("component").alias("ca"))
+    right = marked.select("token", F.col("node").alias("b"), F.col("l").alias("lb"), F.col("p").alias("pb"), F.col("component").alias("cb"))
+    # what sets of these sizes must share, and so how far into both prefixes shared entries count
+    overlap = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
+    reach = (F.col("pa") < F.col("a.n") - overlap + F.least("la", "lb")) & (F.col("pb") < F.col("b.n") - overlap + F.least("la", "lb"))
+    met = left.join(right, (left["token"] == right["token"]) & (left["ca"] != right["cb"]) & fits & reach & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.s") > F.col("b.s")))))
     # sketch order, sizes and l are functions of the class, so counting tokens counts shared prefix entries
     rest = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").select("a", "b")
     rest = checkpoint(rest.join(near, ["a", "b"], "left_anti"))
