@@ -132,8 +132,8 @@ TAGS = {t: i for i, t in enumerate("#root #text html body div p span a ul ol li
 N_TAGS = len(TAGS)
 HASHED = 1024
 #: Positions of single features behind the tags.
-BIAS, LINKED, HALF_LINKED, SHORT, MEDIUM, LONG, NO_STOP, HAS_STOP, IN_HIDDEN, FIRST, DEEP = range(N_TAGS, N_TAGS + 11)
-HASH_AT = N_TAGS + 11
+BIAS, LINKED, HALF_LINKED, SHORT, MEDIUM, LONG, NO_STOP, HAS_STOP = range(N_TAGS, N_TAGS + 8)
+HASH_AT = N_TAGS + 8
 N_FEATURES = HASH_AT + HASHED
 #: Parent-child potentials by kind of child: text, block, other.
 N_KINDS = 3
@@ -152,8 +152,8 @@ def _own(tag: str, words: tuple[str, ...]) -> tuple[int, ...]:
     return (BIAS, TAGS.get(tag, N_TAGS - 1), *sorted({_hash(w) for w in words}))
 
 
-def features(nodes: list[Node]) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
-    """Feature numbers, parent and kind of each node."""
+def features(nodes: list[Node]) -> tuple[list[int], list[tuple[int, ...]], np.ndarray, np.ndarray]:
+    """The nodes of the model (the root and all that have text), and their feature numbers, parents (among these) and kinds."""
     n = len(nodes)
     chars, linked = [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
@@ -164,24 +164,27 @@ def features(nodes: list[Node]) -> tuple[list[tuple[int, ...]], np.ndarray, np.n
             linked[i] = chars[i]
         chars[x.parent] += chars[i]
         linked[x.parent] += linked[i]
-    out, parent, kind = [], np.zeros(n, np.int64), np.zeros(n, np.int64)
+    own, out, parent, kind = [], [], [], []
+    place = [0] * n
     for i, x in enumerate(nodes):
-        parent[i] = x.parent
-        extra = []
         c = chars[i]
-        if c and linked[i] >= 0.8 * c:
+        if i and not c:
+            continue
+        place[i] = len(own)
+        own.append(i)
+        parent.append(place[x.parent] if i else -1)
+        extra = [SHORT if c < 40 else MEDIUM if c < 200 else LONG]
+        if linked[i] >= 0.8 * c:
             extra.append(LINKED)
-        elif c and linked[i] >= 0.4 * c:
+        elif linked[i] >= 0.4 * c:
             extra.append(HALF_LINKED)
-        extra.append(SHORT if c < 40 else MEDIUM if c < 200 else LONG)
         if x.text is not None:
-            s = x.text.rstrip()
-            extra.append(HAS_STOP if s and s[-1] in ".!?…\"”»" else NO_STOP)
-            kind[i] = 0
+            extra.append(HAS_STOP if x.text.rstrip()[-1] in ".!?…\"”»" else NO_STOP)
+            kind.append(0)
         else:
-            kind[i] = 1 if x.tag in BLOCKS else 2
+            kind.append(1 if x.tag in BLOCKS else 2)
         out.append(_own(x.tag, x.words) + tuple(extra))
-    return out, parent, kind
+    return own, out, np.array(parent), np.array(kind)
 
 
 class Model:
@@ -243,9 +246,12 @@ def _exp(x: float) -> float:
 from math import exp as _E  # noqa: E402
 
 
-def fit(pages: list[tuple[list[Node], list[int]]], rounds: int = 60, rate: float = 0.3) -> Model:
+def fit(pages: list[tuple[list[Node], list[int]]], rounds: int = 100, rate: float = 0.3) -> Model:
     """Gradient ascent (Adagrad) on the log-likelihood of labelled trees: nodes and the label of each."""
-    ready = [(*features(nodes), np.array(labels)) for nodes, labels in pages]
+    ready = []
+    for nodes, labels in pages:
+        own, *rest = features(nodes)
+        ready.append((*rest, np.array(labels)[own]))
     weight, pair = np.zeros(N_FEATURES), np.zeros((N_KINDS, 2, 2))
     seen_w, seen_p = np.full(N_FEATURES, 1e-6), np.full((N_KINDS, 2, 2), 1e-6)
     observed_w, observed_p = np.zeros(N_FEATURES), np.zeros((N_KINDS, 2, 2))
@@ -294,7 +300,7 @@ CONTENT = "article content main post story entry body text page text articlebody
 SYLLABLES = "an be co da en fi gra ho in ka lo mi nu or pa que ri so ta un ve wi xo ya zu the er tion".split()
 
 
-def labelled_pages(n: int = 150, seed: int = 5) -> list[tuple[list[Node], list[int]]]:
+def labelled_pages(n: int = 300, seed: int = 5) -> list[tuple[list[Node], list[int]]]:
     """Pages in random layouts, parsed, with the label of each node: whether it holds main text.
 
     Text that belongs to the article is marked by a character that no page has, which is taken out of
@@ -416,8 +422,10 @@ def labelled_pages(n: int = 150, seed: int = 5) -> list[tuple[list[Node], list[i
 def main_text(page: str, model: Model) -> str:
     """The blocks of content in page order, joined by a line feed."""
     nodes = parse(page)
-    feats, parent, kind = features(nodes)
-    on, _ = model.marginals(feats, parent, kind)
+    own, feats, parent, kind = features(nodes)
+    on = [0.0] * len(nodes)
+    for i, p in zip(own, model.marginals(feats, parent, kind)[0], strict=True):
+        on[i] = p
     hidden = [False] * len(nodes)
     block = [0] * len(nodes)
     out: list[str] = []

@@ -15,6 +15,8 @@ once), are masked in the documents that hold the entity.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,15 +93,16 @@ def _none() -> Column:
     return F.array().cast("array<struct<start:int,end:int,match:string>>")
 
 
+def _kind_spans(text: Column, rank: int, kind: str) -> Column:
+    hint = F.contains(text, F.lit(HINTS[kind])) if kind == "email" else F.rlike(text, F.lit(HINTS[kind]))
+    found = F.when(hint, located(text, PATTERNS[kind])).otherwise(_none())
+    good = F.filter(found, lambda m: valid(kind, m["match"]))
+    return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["match"].alias("match")))
+
+
 def base_spans(text: Column) -> Column:
     """Array of (start, rank, end, kind, match) of all entities, by start and then kind."""
-    parts = []
-    for rank, kind in enumerate(KINDS):
-        hint = F.contains(text, F.lit(HINTS[kind])) if kind == "email" else F.rlike(text, F.lit(HINTS[kind]))
-        found = F.when(hint, located(text, PATTERNS[kind])).otherwise(_none())
-        good = F.filter(found, lambda m, kind=kind: valid(kind, m["match"]))
-        parts.append(F.transform(good, lambda m, rank=rank, kind=kind: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["match"].alias("match"))))
-    return F.sort_array(F.concat(*parts))
+    return F.sort_array(F.concat(*[_kind_spans(text, rank, kind) for rank, kind in enumerate(KINDS)]))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -198,5 +201,11 @@ def sanitize(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     found = find_pii(docs.select(id_col, text_col), text_col, "pii_")
-    count = lambda k: F.size(F.filter("pii_base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select(id_col, *[count(k) for k in KINDS], F.sha2(joined(F.col("pii_base_spans")), 256).alias("base_sha256"), joined(F.col("pii_all_spans")).alias("spans"))
+    counts = []
+    for kind in KINDS:
+        counts.append(F.size(F.filter("pii_base_spans", _is_kind(kind))).cast("long").alias(f"n_{kind}"))
+    return found.select(id_col, *counts, F.sha2(joined(F.col("pii_base_spans")), 256).alias("base_sha256"), joined(F.col("pii_all_spans")).alias("spans"))
+
+
+def _is_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
