@@ -9,8 +9,8 @@ disclosure is the pointwise mutual information of term and entity, over the info
 
 with counts of documents: n(term, entity) of those in which the term stands within REACH words of the entity. It is 1 for a
 term that is only found beside the entity, and 0 for one independent of it. Terms of a disclosure of at
-least MIN_DISCLOSURE, seen beside the entity in at least MIN_CONTEXTS different surroundings (so that copies of a document count
-once), are masked in the documents that hold the entity.
+least MIN_DISCLOSURE, seen beside the entity in at least MIN_CONTEXTS documents and different surroundings (so that copies of a document
+count once), are masked in the documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -119,13 +119,15 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("doc"),
     )
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
-    lw, rw = words(F.col("left")), words(F.col("right"))
+    # other entities nearby are no terms
+    bare = lambda c: F.regexp_replace(c, r"\S*@\S*|\+?[0-9][0-9().\x20-]*+", " ")
+    lw, rw = words(bare(F.col("left"))), words(bare(F.col("right")))
     # a word cut off by the reach of 200 characters lies beyond REACH words or is left out
     around = F.concat(F.slice(lw, F.greatest(F.size(lw) - REACH + 1, F.lit(1)), F.lit(REACH)), F.slice(rw, F.lit(1), F.lit(REACH)))
     near = each.select("entity", "doc", around.alias("words")).withColumn("context", F.xxhash64("words"))
     many = near.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc").alias("n_entity")).where(F.col("contexts") >= MIN_CONTEXTS)
     pairs = near.join(many, "entity").select("entity", "n_entity", "doc", "context", F.explode(F.array_distinct("words")).alias("term"))
-    pairs = pairs.groupBy("entity", "term", "n_entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc").alias("n_both")).where(F.col("contexts") >= MIN_CONTEXTS)
+    pairs = pairs.groupBy("entity", "term", "n_entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc").alias("n_both")).where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("n_both") >= MIN_CONTEXTS))
     pairs = checkpoint(pairs)
     n_pairs = pairs.count()
     if n_pairs == 0:
@@ -171,6 +173,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     out = out.join(sized(mine, mine.count()), out[key] == mine["k"], "left")
     rank = len(KINDS)
     word = F.filter(located(text, WORD), lambda m: F.array_contains(F.col("terms"), F.lower(m["match"])))
+    word = F.filter(word, lambda m: ~F.exists(F.col(spans), lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
     own = F.transform(word, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit("term").alias("kind"), m["match"].alias("match")))
     return out.withColumn(everything, F.when(F.col("terms").isNull(), F.col(spans)).otherwise(F.sort_array(F.concat(F.col(spans), own)))).drop(key, "k", "terms")
 
