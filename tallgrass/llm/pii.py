@@ -120,7 +120,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     )
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
     # other entities nearby are no terms
-    bare = lambda c: F.regexp_replace(c, r"\S*@\S*|\+?[0-9][0-9().\x20-]*+", " ")
+    bare = lambda c: F.regexp_replace(c, r"\S*@\S*|(?<![\p{L}\p{N}])\+?[0-9][0-9().\x20-]*+", " ")
     lw, rw = words(bare(F.col("left"))), words(bare(F.col("right")))
     # a word cut off by the reach of 200 characters lies beyond REACH words or is left out
     around = F.concat(F.slice(lw, F.greatest(F.size(lw) - REACH + 1, F.lit(1)), F.lit(REACH)), F.slice(rw, F.lit(1), F.lit(REACH)))
