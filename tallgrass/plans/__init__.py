@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Registered queries with their SQL twins."""
