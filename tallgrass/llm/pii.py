@@ -132,14 +132,23 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     n_pairs = pairs.count()
     if n_pairs == 0:
         return pairs.select("entity", "term")
-    # of all documents: how many there are, and how many use a candidate term
-    wanted = pairs.select("term").distinct()
-    used = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(sized(wanted, n_pairs), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.count("*").alias("n"))
-    scored = pairs.join(used, "term").crossJoin(F.broadcast(total))  # total: one row
-    pmi = F.log2(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    of_entity = F.log2(F.col("n") / F.col("n_entity"))
-    return scored.where((of_entity > 0) & (pmi / of_entity >= MIN_DISCLOSURE)).select("entity", "term")
+    total = checkpoint(docs.agg(F.count("*").alias("n")))
+
+    def scored(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+        """pairs with the disclosure that term counts over texts give."""
+        wanted = pairs.select("term").distinct()
+        used = texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(sized(wanted, n), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+        both = pairs.join(used, "term").crossJoin(F.broadcast(total))  # total: one row
+        pmi = F.log2(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+        of_entity = F.log2(F.col("n") / F.col("n_entity"))
+        return both.where((of_entity > 0) & (pmi / of_entity >= MIN_DISCLOSURE)).select("entity", "term", "n_entity", "n_both")
+
+    # a term is used at least as often as in the texts with entities: what fails already there (all common words) can't pass
+    likely = checkpoint(scored(pairs, found.select("text"), n_pairs))
+    n_likely = likely.count()
+    if n_likely == 0:
+        return likely.select("entity", "term")
+    return scored(likely, docs, n_likely).select("entity", "term")
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
