@@ -161,7 +161,7 @@ def cumcount(by: list[str], order: list[str]) -> Column:
 
 def crosstab(df: DataFrame, row: str, column: str, values: list, normalize: str | None = None) -> DataFrame:
     """Counts of each pair of values; the column values are given, so that no extra job finds them."""
-    counts = df.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    counts = df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
     if normalize == "index":
         total = sum((F.col(f"`{v}`") for v in map(str, values)), F.lit(0))
         return counts.select(row, *[(F.col(f"`{v}`") / total).alias(str(v)) for v in values])

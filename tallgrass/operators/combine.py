@@ -90,7 +90,7 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def distinct_subset(df: DataFrame, subset: list[str], order: list[str], keep: str = "first") -> DataFrame:
     """The first or last row of each key in the order: a pre-aggregated minimum, not a window."""
     rest = [c for c in df.columns if c not in subset]
-    row = F.struct(*order, *rest)
+    row = F.struct(*rest)
     best = (F.min if keep == "first" else F.max)(F.struct(F.struct(*order).alias("o"), row.alias("r"))).alias("b")
     kept = df.groupBy(*subset).agg(best)
     return kept.select(*[F.col(c) if c in subset else F.col(f"b.r.{c}").alias(c) for c in df.columns])
