@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 400_000
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -38,7 +38,7 @@ def _power(base: int, n: int) -> np.ndarray:
         steps = np.full(size, base, dtype=U)
         steps[0] = 1
         have = _powers[base] = np.cumprod(steps, dtype=U)
-        if size > 8 * BLOCK_BYTES:  # a rare giant text: not kept
+        if size > 4_000_000:  # a rare giant text: not kept
             del _powers[base]
     return have[:n]
 

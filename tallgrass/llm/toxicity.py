@@ -114,13 +114,12 @@ def fit(term: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, seed
             at = np.repeat(start[chosen] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(r))
             t = term[at]
             v = params[2][t]
-            total = np.zeros((len(chosen), FACTORS))
-            np.add.at(total, r, v)
+            total = np.stack([np.bincount(r, v[:, f], len(chosen)) for f in range(FACTORS)], axis=1)
             square = np.bincount(r, (v * v).sum(1), len(chosen))
             z = params[0][0] + np.bincount(r, params[1][t], len(chosen)) + 0.5 * ((total**2).sum(1) - square)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[chosen]) / len(chosen)
-            gv = np.zeros_like(params[2])
-            np.add.at(gv, t, g[r, None] * (total[r] - v))
+            push = g[r, None] * (total[r] - v)
+            gv = np.stack([np.bincount(t, push[:, f], n_terms) for f in range(FACTORS)], axis=1)
             grads = [np.array([g.sum()]), np.bincount(t, g[r], n_terms) + 1e-5 * params[1], gv + 1e-4 * params[2]]
             step += 1
             for x, grad, m, s in zip(params, grads, first, second, strict=True):
