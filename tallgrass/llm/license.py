@@ -64,7 +64,7 @@ RULES = (
 #: A text without any of these can't hold a known sentence.
 HINT = re.compile(r"licen|permission|public domain|redistribut|rights reserved|as is|cc0|creative commons|liab|without warranty|free software|applicable law|gnu ", re.I)
 #: The same among the sentences of a text.
-END = re.compile(r"(?<=[.!?;:])\s+|\n+|\r+")
+END = re.compile(r"(?<=[.!?;])\s+|\n+|\r+")
 NAMES = {"general": "GPL", "lesser general": "LGPL", "affero general": "AGPL"}
 
 _known = [(name, re.compile(p)) for name, p in SENTENCES.items()]

@@ -186,11 +186,11 @@ def test_pii_base_spans_are_brute_force(spark):
 
 def test_pii_adds_terms_that_give_an_entity_away(spark):
     told = [(i, f"lorem w{i} x{i} nemo the nemo@sea.org and v{i} t{i} end") for i in range(5)]
-    other = [(100 + i, f"word{i} the text {i} and more") for i in range(60)]
+    other = [(100 + i, f"word{i} the text {i} and more end") for i in range(60)]
     df = spark.createDataFrame(told + other, "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.sanitize(df).collect()}
     assert got[3] == "lorem w3 x3 [TERM] the [EMAIL] and v3 t3 end"
-    assert got[107] == "word7 the text 7 and more"
+    assert got[107] == "word7 the text 7 and more end"
     assert pii.sanitize(odd(spark)).columns == odd(spark).columns
     assert pii.sanitize(odd(spark).limit(0)).count() == 0
 
