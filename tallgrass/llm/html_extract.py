@@ -251,7 +251,7 @@ def _exp(x: float) -> float:
 from math import exp as _E  # noqa: E402
 
 
-def fit(pages: list[tuple[list[Node], list[int]]], rounds: int = 120, rate: float = 0.8) -> Model:
+def fit(pages: list[tuple[list[Node], list[int]]], rounds: int = 240, rate: float = 0.8) -> Model:
     """Gradient ascent (Adagrad) on the log-likelihood of labelled trees: nodes and the label of each."""
     ready = []
     for nodes, labels in pages:
