@@ -29,7 +29,7 @@ def db():
 
 
 def text(v):
-    return f"{v:.6g}" if isinstance(v, float) else str(v)
+    return f"{v:.8g}" if isinstance(v, float) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
