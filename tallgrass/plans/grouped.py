@@ -140,10 +140,10 @@ def cumcount(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", A.cumcount(["conv_id"], ["turn"]).alias("k"))
 
 
-@query("SELECT r_name, n_name, CAST(CASE WHEN grouping(n_name) = 0 THEN 1 ELSE 0 END AS INT) AS rollup_level, count(*) AS n, round(sum(c_acctbal), 1) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name) HAVING grouping(r_name) = 0")
+@query("SELECT r_name, n_name, CAST(CASE WHEN grouping(n_name) = 0 THEN 1 ELSE 0 END AS INT) AS rollup_level, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name) HAVING grouping(r_name) = 0")
 def rollup_levels(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return A.rollup_levels(df, ["r_name", "n_name"], n=F.count("*"), bal=F.round(F.sum("c_acctbal"), 1))
+    return A.rollup_levels(df, ["r_name", "n_name"], n=F.count("*"), bal=F.round(F.sum("c_acctbal"), 2))
 
 
 @query("SELECT n_regionkey, n_nationkey, sum(c_acctbal) AS total, sum(c_acctbal) / sum(sum(c_acctbal)) OVER (PARTITION BY n_regionkey) AS share FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey")

@@ -28,8 +28,9 @@ def db():
     return con
 
 
-def text(v):
-    return f"{v:.8g}" if isinstance(v, float) else str(v)
+def same(a, b):
+    """Sums of doubles depend on their order, and a rounded double may fall on either side."""
+    return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-6) if isinstance(a, float) and isinstance(b, float) else str(a) == str(b)
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -39,9 +40,12 @@ def test_query_is_its_sql_twin(spark, db, name):
     names = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(names)
     order = sorted(names)
-    got = sorted(tuple(text(r[c]) for c in order) for r in df.collect())
-    want = sorted(tuple(text(r[names.index(c)]) for c in order) for r in result.fetchall())
-    assert got == want
+    # rows in the order of their exact values, then of their doubles
+    exact = lambda row: ([str(v) for v in row if not isinstance(v, float)], [v for v in row if isinstance(v, float)])
+    got = sorted((tuple(r[c] for c in order) for r in df.collect()), key=exact)
+    want = sorted((tuple(r[names.index(c)] for c in order) for r in result.fetchall()), key=exact)
+    assert len(got) == len(want)
+    assert all(same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
 
 
 def test_merges(spark):
