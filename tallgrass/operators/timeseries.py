@@ -41,9 +41,10 @@ def count_windows(df: DataFrame, by: list[str], order: list[str], size: int, **a
     return df.withColumn("w", at).groupBy(*by, "w").agg(*_aggs(aggs))
 
 
-def numbered(df: DataFrame, order: str, out: str = "_i", slices: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: str, out: str = "_i", slices: int | None = None) -> DataFrame:
     """Rows numbered from 1 in the order of one column of distinct values, by range slices and offsets."""
-    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / slices) for k in range(1, slices)]), 1000).alias("_cuts"))
+    slices = slices or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / slices) for k in range(1, slices)]), 20 * slices).alias("_cuts"))
     placed = df.crossJoin(F.broadcast(cuts)).withColumn("_s", F.size(F.filter("_cuts", lambda x: F.col(order) > x))).drop("_cuts")
     counts = placed.groupBy("_s").agg(F.count("*").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

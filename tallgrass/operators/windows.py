@@ -42,13 +42,14 @@ def cummin(c: str, by: list[str], order: list[str]) -> Column:
     return F.when(F.col(c).isNotNull(), F.min(c).over(upto(by, order)))
 
 
-def cumulative_global(df: DataFrame, c: str, order: str, out: str, slices: int = 64) -> DataFrame:
+def cumulative_global(df: DataFrame, c: str, order: str, out: str, slices: int | None = None) -> DataFrame:
     """Running sum of c over the whole table in the order of one column, distributed.
 
     Rows are cut into slices at approximate quantiles of the order; sums of slices give each slice its offset. Rows of equal
-    order are summed together (as by a RANGE window).
+    order are summed together (as by a RANGE window). There are as many slices as shuffle partitions, 64 at least.
     """
-    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / slices) for k in range(1, slices)]), 1000).alias("_cuts"))
+    slices = slices or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / slices) for k in range(1, slices)]), 20 * slices).alias("_cuts"))
     placed = df.crossJoin(F.broadcast(cuts)).withColumn("_slice", F.size(F.filter("_cuts", lambda x: F.col(order) > x))).drop("_cuts")
     sums = placed.groupBy("_slice").agg(F.sum(c).alias("_sum"))
     offsets = sums.select(F.col("_slice").alias("_s"), F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))

@@ -54,15 +54,24 @@ def accuracy_precision_recall_f1(spark: SparkSession, sf: str) -> DataFrame:
     return X.classification_metrics(table(spark, sf, "labels"), "toxic", "quality")
 
 
-# --- graphs: suppliers and the nations of the customers they deliver to ---
+# --- graphs: suppliers and the customers they deliver to; the tree of customers, suppliers, nations and regions ---
 
-_EDGES = "(SELECT DISTINCT l_suppkey AS src, 100000 + o_custkey % 40 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 5 = 0 AND o_custkey % 7 = 0)"
+_EDGES = "(SELECT DISTINCT l_suppkey AS src, 10000000 + o_custkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_TREE = """(SELECT 10000000 + c_custkey AS src, CAST(1000 + c_nationkey AS BIGINT) AS dst, abs(c_acctbal) AS weight FROM customer
+    UNION ALL SELECT 1000000 + s_suppkey, 1000 + s_nationkey, abs(s_acctbal) FROM supplier UNION ALL SELECT 1000 + n_nationkey, n_regionkey, 1.5::DOUBLE FROM nation)"""
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where("l_suppkey % 5 = 0").select("l_suppkey", "l_orderkey")
-    orders = table(spark, sf, "orders").where("o_custkey % 7 = 0").select("o_orderkey", "o_custkey")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("src"), (F.col("o_custkey") % 40 + 100000).alias("dst")).distinct()
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("src"), (F.col("o_custkey") + 10_000_000).alias("dst")).distinct()
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda name, key, shift, up, base, weight: table(spark, sf, name).select((F.col(key) + shift).cast("long").alias("src"), (F.col(up) + base).cast("long").alias("dst"), weight.alias("weight"))
+    customers = part("customer", "c_custkey", 10_000_000, "c_nationkey", 1000, F.abs("c_acctbal"))
+    suppliers = part("supplier", "s_suppkey", 1_000_000, "s_nationkey", 1000, F.abs("s_acctbal"))
+    return customers.union(suppliers).union(part("nation", "n_nationkey", 1000, "n_regionkey", 0, F.lit(1.5)))
 
 
 @query(f"SELECT id, sum(o) AS out_degree, sum(i) AS in_degree, count(*) AS degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM {_EDGES} UNION ALL SELECT dst, 0, 1 FROM {_EDGES}) GROUP BY id")
@@ -70,15 +79,80 @@ def degree(spark: SparkSession, sf: str) -> DataFrame:
     return G.degrees(_edges(spark, sf))
 
 
-@query("SELECT n_nationkey AS id, least(n_regionkey + 100, 999) AS component FROM nation WHERE false UNION ALL SELECT k AS id, k % 3 AS component FROM (SELECT unnest(range(0, 30)) AS k)")
+@query(
+    """WITH RECURSIVE e AS (SELECT o_custkey AS a, 10000000 + o_orderkey AS b FROM orders), u AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e), r AS (SELECT src AS id, src AS label FROM u UNION SELECT u.dst, r.label FROM r JOIN u ON r.id = u.src)
+    SELECT id, min(label) AS component FROM r GROUP BY id"""
+)
 def components_min_label(spark: SparkSession, sf: str) -> DataFrame:
-    edges = spark.range(27).select(F.col("id").alias("src"), (F.col("id") + 3).alias("dst"))
-    return G.connected_components(edges)
+    return G.connected_components(table(spark, sf, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 10_000_000).alias("dst")))
 
 
-@query("SELECT k AS id, CAST(k AS INT) AS level FROM (SELECT unnest(range(0, 8)) AS k)")
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {_TREE} UNION SELECT dst, src FROM {_TREE}), r AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS level UNION SELECT e.dst, level + 1 FROM r JOIN e ON r.id = e.src WHERE level < 4)
+    SELECT id, min(level) AS level FROM r GROUP BY id"""
+)
 def bfs_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return G.bfs_levels(spark.range(7).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), 0)
+    return G.bfs_levels(_tree(spark, sf), 1, directed=False)
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_TREE}), r AS (SELECT CAST(1 AS BIGINT) AS id, 0.0::DOUBLE AS distance, CAST(NULL AS BIGINT) AS parent UNION ALL SELECT e.src, distance + weight, r.id FROM r JOIN e ON r.id = e.dst)
+    SELECT id, distance, parent FROM r"""
+)
+def shortest_paths_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return G.shortest_paths(_tree(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), 1)
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_TREE}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id AS start, id, 0 AS d FROM v UNION SELECT r.start, e.dst, d + 1 FROM r JOIN e ON r.id = e.src)
+    SELECT start AS id, coalesce((count(*) - 1) * (count(*) - 1) / nullif((SELECT count(*) - 1 FROM v) * sum(d), 0), 0)::DOUBLE AS closeness FROM r GROUP BY start"""
+)
+def closeness(spark: SparkSession, sf: str) -> DataFrame:
+    return G.closeness(_tree(spark, sf))
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_TREE}), r AS (SELECT src AS id, 0 AS level FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT dst, level + 1 FROM r JOIN e ON r.id = e.src)
+    SELECT id, max(level) AS level FROM r GROUP BY id"""
+)
+def toposort_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return G.topological_levels(_tree(spark, sf))
+
+
+_COMMUNITY = """(SELECT 10000000 + c_custkey AS id, n_regionkey AS c FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 1000000 + s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT 1000 + n_nationkey, n_regionkey FROM nation UNION ALL SELECT r_regionkey, r_regionkey FROM region)"""
+
+
+@query(
+    f"""WITH c AS ({_COMMUNITY}), u AS (SELECT src, dst FROM {_TREE} UNION SELECT dst, src FROM {_TREE}), s AS (SELECT a.c, count(*) AS k, count(*) FILTER (a.c = b.c) AS inside FROM u JOIN c a ON a.id = u.src JOIN c b ON b.id = u.dst GROUP BY a.c)
+    SELECT round(sum(inside / (SELECT sum(k) FROM s) - (k / (SELECT sum(k) FROM s)) ** 2), 10) AS q FROM s"""
+)
+def modularity_given(spark: SparkSession, sf: str) -> DataFrame:
+    n, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    by_nation = lambda name, key, up, shift: table(spark, sf, name).join(n, F.col(up) == F.col("n_nationkey")).select((F.col(key) + shift).alias("id"), F.col("n_regionkey").alias("community"))
+    given = by_nation("customer", "c_custkey", "c_nationkey", 10_000_000).union(by_nation("supplier", "s_suppkey", "s_nationkey", 1_000_000))
+    given = given.union(n.select(F.col("n_nationkey") + 1000, "n_regionkey")).union(region.select("r_regionkey", "r_regionkey"))
+    return G.modularity(_tree(spark, sf), given).select(F.round("q", 10).alias("q"))
+
+
+@query(
+    f"""WITH e AS MATERIALIZED (SELECT * FROM {_EDGES}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), k1 AS (SELECT id, 1.0::DOUBLE AS x FROM v),
+    k2 AS MATERIALIZED (SELECT id, 1.0 + 0.1 * coalesce(s, 0) AS x FROM v LEFT JOIN (SELECT src, sum(x) AS s FROM e JOIN k1 ON dst = id GROUP BY src) ON src = id),
+    k3 AS (SELECT id, 1.0 + 0.1 * coalesce(s, 0) AS x FROM v LEFT JOIN (SELECT src, sum(x) AS s FROM e JOIN k2 ON dst = id GROUP BY src) ON src = id)
+    SELECT id, round(x / max(x) OVER (), 10) AS score FROM k3"""
+)
+def katz_k(spark: SparkSession, sf: str) -> DataFrame:
+    return G.katz(_edges(spark, sf), rounds=3, tolerance=None).select("id", F.round("score", 10).alias("score"))
+
+
+@query(
+    f"""WITH e AS MATERIALIZED (SELECT * FROM {_EDGES}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+    a1 AS (SELECT dst AS id, count(*) AS x FROM e GROUP BY dst), h1 AS MATERIALIZED (SELECT src AS id, sum(x) AS x FROM e JOIN a1 ON a1.id = dst GROUP BY src),
+    a2 AS MATERIALIZED (SELECT dst AS id, sum(x) AS x FROM e JOIN h1 ON h1.id = src GROUP BY dst), h2 AS (SELECT src AS id, sum(x) AS x FROM e JOIN a2 ON a2.id = dst GROUP BY src)
+    SELECT v.id, round(coalesce(h2.x / (SELECT sqrt(sum(x::DOUBLE * x)) FROM h2), 0), 9) AS hub, round(coalesce(a2.x / (SELECT sqrt(sum(x::DOUBLE * x)) FROM a2), 0), 9) AS authority FROM v LEFT JOIN h2 ON h2.id = v.id LEFT JOIN a2 ON a2.id = v.id"""
+)
+def hits_k(spark: SparkSession, sf: str) -> DataFrame:
+    return G.hits(_edges(spark, sf), rounds=2, tolerance=None).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
 @query(
