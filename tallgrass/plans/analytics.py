@@ -54,6 +54,69 @@ def accuracy_precision_recall_f1(spark: SparkSession, sf: str) -> DataFrame:
     return X.classification_metrics(table(spark, sf, "labels"), "toxic", "quality")
 
 
+_RANKED = "SELECT event_type, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS r FROM events"
+
+
+@query(
+    f"""WITH x AS ({_RANKED.replace("FROM events", "FROM events WHERE event_type IN ('click', 'view')")}), m AS (SELECT sum(r) FILTER (event_type = 'click') AS r1, count(*) FILTER (event_type = 'click') AS n1, count(*) FILTER (event_type = 'view') AS n2 FROM x)
+    SELECT r1 - n1 * (n1 + 1) / 2 AS u1, n1 * n2 - (r1 - n1 * (n1 + 1) / 2) AS u2, least(r1 - n1 * (n1 + 1) / 2, n1 * n2 - (r1 - n1 * (n1 + 1) / 2)) AS u FROM m"""
+)
+def mannwhitney_u(spark: SparkSession, sf: str) -> DataFrame:
+    return X.mann_whitney(table(spark, sf, "events"), "value", "event_type", "click", "view").select("u1", "u2", "u")
+
+
+@query(
+    f"""SELECT round(12 * sum(r * r / n) / (sum(n) * (sum(n) + 1)) - 3 * (sum(n) + 1), 6) AS h, (count(*) - 1)::DOUBLE AS dof FROM (SELECT event_type, sum(r) AS r, count(*) AS n FROM ({_RANKED}) GROUP BY event_type)"""
+)
+def kruskal_h(spark: SparkSession, sf: str) -> DataFrame:
+    return X.kruskal(table(spark, sf, "events"), "value", "event_type").select(F.round("h", 6).alias("h"), "dof")
+
+
+@query(
+    """WITH v AS (SELECT value, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b FROM events GROUP BY value), t AS (SELECT sum(a) AS na, sum(b) AS nb FROM v)
+    SELECT round(max(abs(g)), 9) AS d FROM (SELECT sum(a) OVER w / na - sum(b) OVER w / nb AS g FROM v, t WINDOW w AS (ORDER BY value))"""
+)
+def ks_two_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return X.ks_two_sample(table(spark, sf, "events"), "value", "event_type", "click", "view").select(F.round("d", 9).alias("d"))
+
+
+@query(
+    """SELECT round(corr(a, b), 9) AS rho FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a,
+    rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem)"""
+)
+def spearman(spark: SparkSession, sf: str) -> DataFrame:
+    return X.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("rho", 9).alias("rho"))
+
+
+@query(
+    """WITH n AS (SELECT p_brand AS a, p_type AS b, count(*) AS n FROM part GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY a) AS ra, sum(n) OVER (PARTITION BY b) AS rb, sum(n) OVER () AS t FROM n),
+    ha AS (SELECT -sum(ra / t * ln(ra / t)) AS h FROM (SELECT DISTINCT a, ra, t FROM w)), hb AS (SELECT -sum(rb / t * ln(rb / t)) AS h FROM (SELECT DISTINCT b, rb, t FROM w)), m AS (SELECT sum(n / t * ln(n * t / (ra * rb))) AS mi FROM w)
+    SELECT round(mi, 9) AS mi, round(mi / sqrt(ha.h * hb.h), 9) AS nmi FROM m, ha, hb"""
+)
+def mutual_info(spark: SparkSession, sf: str) -> DataFrame:
+    return X.mutual_information(table(spark, sf, "part"), "p_brand", "p_type").select(F.round("mi", 9).alias("mi"), F.round("nmi", 9).alias("nmi"))
+
+
+@query("SELECT round((avg(value) - 50) / (stddev_samp(value) / sqrt(count(value))), 8) AS t, (count(value) - 1)::DOUBLE AS dof FROM events")
+def ttest_one_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return X.one_sample_t(table(spark, sf, "events"), "value", 50.0).select(F.round("t", 8).alias("t"), "dof")
+
+
+@query("SELECT round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) AS t, (count(d) - 1)::DOUBLE AS dof FROM (SELECT l_discount - l_tax AS d FROM lineitem)")
+def ttest_paired(spark: SparkSession, sf: str) -> DataFrame:
+    return X.paired_t(table(spark, sf, "lineitem"), "l_discount", "l_tax").select(F.round("t", 6).alias("t"), "dof")
+
+
+@query("SELECT o_orderkey FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) WHERE abs(o_totalprice - m) > 1.5 * s")
+def zscore_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return X.zscore_outliers(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 1.5).select("o_orderkey")
+
+
+@query("SELECT o_orderstatus, CAST(round(count(*) * 0.25) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus")
+def stratified_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return X.stratified_sample(table(spark, sf, "orders"), "o_orderstatus", 0.25, "o_orderkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
 # --- graphs: suppliers and the customers they deliver to; the tree of customers, suppliers, nations and regions ---
 
 _EDGES = "(SELECT DISTINCT l_suppkey AS src, 10000000 + o_custkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
