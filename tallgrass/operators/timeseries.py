@@ -66,20 +66,47 @@ def acf(df: DataFrame, c: str, order: list[str], lags: list[int]) -> DataFrame:
 
 
 def decompose_additive(df: DataFrame, c: str, by: list[str], order: list[str], period: int) -> DataFrame:
-    """Adds trend (centred moving average, half weights at the ends for even periods), seasonal and residual."""
+    """Adds trend (centred moving mean of period // 2 rows to each side, shorter at the ends), seasonal and residual."""
     w = Window.partitionBy(*by).orderBy(*order)
     half = period // 2
-    frame = w.rowsBetween(-half, half)
-    full = F.count(c).over(frame) == 2 * half + 1
-    total = F.sum(c).over(frame)
-    if period % 2 == 0:
-        total = total - (F.lag(c, half).over(w) + F.lead(c, half).over(w)) / 2
-    df = df.withColumn("trend", F.when(full, total / period)).withColumn("_phase", (F.row_number().over(w) - 1) % period)
-    rest = F.col(c) - F.col("trend")
-    means = df.groupBy(*by, "_phase").agg(F.avg(rest).alias("_mean"))
-    means = means.withColumn("seasonal", F.col("_mean") - F.avg("_mean").over(Window.partitionBy(*by))).drop("_mean")
-    out = df.join(means, [*by, "_phase"]).drop("_phase")
-    return out.withColumn("residual", F.col(c) - F.col("trend") - F.col("seasonal"))
+    df = df.withColumn("trend", F.avg(c).over(w.rowsBetween(-half, half))).withColumn("_phase", (F.row_number().over(w) - 1) % period)
+    # the mean of a phase and the mean of those means are windows over the partitioning that is there already
+    df = df.withColumn("_mean", F.avg(F.col(c) - F.col("trend")).over(Window.partitionBy(*by, "_phase")))
+    one = F.row_number().over(Window.partitionBy(*by, "_phase").orderBy(*order)) == 1
+    df = df.withColumn("_one", F.when(one, F.col("_mean")))
+    df = df.withColumn("seasonal", F.col("_mean") - F.avg("_one").over(Window.partitionBy(*by))).drop("_phase", "_mean", "_one")
+    return df.withColumn("residual", F.col(c) - F.col("trend") - F.col("seasonal"))
+
+
+def sessions_limited(df: DataFrame, ts: str, by: list[str], gap_seconds: float, longest_seconds: float) -> DataFrame:
+    """by, start, last, n: a session ends after a gap of more than gap_seconds, or before a row later than longest_seconds.
+
+    Gaps always end a session, so a window cuts at them; only inside such a stretch does a beginning depend on the one
+    before, and its times are folded in order as one array of micros: a stretch without gaps must fit a task.
+    """
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap, longest = int(gap_seconds * 1e6), int(longest_seconds * 1e6)
+    w = Window.partitionBy(*by).orderBy("_m")
+    cut = df.where(F.col(ts).isNotNull()).select(*by, t.alias("_m")).withColumn("_cut", F.coalesce((F.col("_m") - F.lag("_m").over(w) > gap).cast("int"), F.lit(0)))
+    times = cut.withColumn("_g", F.sum("_cut").over(w)).groupBy(*by, "_g").agg(F.sort_array(F.collect_list("_m")).alias("_t"))
+    new = lambda x, n: F.named_struct(F.lit("start"), x, F.lit("last"), x, F.lit("n"), n)
+    begin = F.named_struct(F.lit("done"), F.expr("CAST(array() AS array<struct<start: bigint, last: bigint, n: bigint>>)"), F.lit("now"), new(F.col("_t")[0], F.lit(0).cast("bigint")))
+
+    def step(s: Column, x: Column) -> Column:
+        now = s["now"]
+        ends = x - now["start"] > longest
+        one = F.lit(1).cast("bigint")
+        grown = F.named_struct(F.lit("start"), now["start"], F.lit("last"), x, F.lit("n"), now["n"] + one)
+        return F.when(ends, F.named_struct(F.lit("done"), F.array_append(s["done"], now), F.lit("now"), new(x, one))).otherwise(F.named_struct(F.lit("done"), s["done"], F.lit("now"), grown))
+
+    every = F.aggregate("_t", begin, step, lambda s: F.array_append(s["done"], s["now"]))
+    return times.select(*by, F.explode(every).alias("_s")).select(*by, F.timestamp_micros("_s.start").alias("start"), F.timestamp_micros("_s.last").alias("last"), F.col("_s.n").alias("n"))
+
+
+def percentile_nearest(c: str, q: float) -> Column:
+    """sorted[round(q * (n - 1))], halves away from zero: an aggregate for windows of bounded size."""
+    values = F.sort_array(F.collect_list(c))
+    return F.get(values, F.round(q * (F.count(c) - 1)).cast("int"))
 
 
 def cusum(df: DataFrame, c: str, by: list[str], order: list[str], out: str = "cusum") -> DataFrame:
