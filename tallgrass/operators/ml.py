@@ -121,3 +121,14 @@ def impute(df: DataFrame, columns: list[str], how: str = "mean") -> DataFrame:
 def polynomial_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds all products of two of the columns, squares included, as a_x_b."""
     return df.select("*", *[(F.col(a) * F.col(b)).alias(f"{a}_x_{b}") for i, a in enumerate(columns) for b in columns[i:]])
+
+
+def choose_model(df: DataFrame, features: list[str], label: str, candidates: Mapping[str, Mapping[str, list]], metric: str, folds: int = 3, seed: int = 0) -> tuple[str, PipelineModel, dict[str, float]]:
+    """Name and fitted pipeline of the candidate (name to grid) with the best cross-validated metric, and all metrics."""
+    lower = metric in ("rmse", "mse", "mae")
+    scores, models = {}, {}
+    for name, grid in candidates.items():
+        searched = grid_search(df, name, features, label, grid, metric, folds, seed)
+        scores[name], models[name] = (min if lower else max)(searched.avgMetrics), searched.bestModel
+    best = (min if lower else max)(scores, key=lambda n: scores[n])
+    return best, models[best], scores

@@ -12,7 +12,7 @@ from tallgrass.functions.expression import evaluate, query_filter
 from tallgrass.operators import combine as M
 from tallgrass.operators import graph as G
 from tallgrass.operators import windows as W
-from tallgrass.plans import analytics, basic, frames, grouped, joined, registry  # noqa: F401
+from tallgrass.plans import analytics, basic, frames, grouped, joined, registry, series  # noqa: F401
 from tallgrass.sources import files
 from tallgrass.streaming import windows as stream
 
