@@ -6,6 +6,7 @@ series must fit a task, while any number of series are independent.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,36 @@ def exponential_smoothing(df: DataFrame, by: list[str], order: list[str], c: str
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
+def autoregressive(df: DataFrame, by: list[str], order: list[str], c: str, steps: int, p: int = 1, d: int = 0) -> DataFrame:
+    """by, step, forecast: least squares of the d-th differences on their p predecessors and a constant, carried on and summed up again.
+
+    A series with fewer than p + 2 differences beyond the first p goes on by their mean; one of d values or fewer by its last value.
+    """
+    types = dict(df.dtypes)
+    schema = "".join(f"`{k}` {types[k]}, " for k in by) + "step int, forecast double"
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(order, kind="stable")[c].dropna().to_numpy(float)
+        if not len(x):
+            return pd.DataFrame([], columns=[*by, "step", "forecast"])
+        if len(x) <= d:
+            return pd.DataFrame([(*key, h, x[-1]) for h in range(1, steps + 1)], columns=[*by, "step", "forecast"])
+        y = np.diff(x, d)
+        weights = np.array([y.mean(), *[0.0] * p])
+        if len(y) >= 2 * p + 2:
+            past = np.column_stack([np.ones(len(y) - p), *[y[p - k : len(y) - k] for k in range(1, p + 1)]])
+            weights = np.linalg.lstsq(past, y[p:], rcond=None)[0]
+        tail = [*np.zeros(max(0, p - len(y))), *y]
+        for _ in range(steps):
+            tail.append(weights[0] + sum(w * tail[-k] for k, w in enumerate(weights[1:], 1)))
+        ahead = np.array(tail[len(tail) - steps :])
+        for k in range(d - 1, -1, -1):
+            ahead = np.diff(x, k)[-1] + np.cumsum(ahead)
+        return pd.DataFrame([(*key, h, v) for h, v in enumerate(ahead.tolist(), 1)], columns=[*by, "step", "forecast"])
+
+    return df.groupBy(*by).applyInPandas(run, schema)
+
+
 def features(df: DataFrame, by: list[str], order: list[str], c: str) -> DataFrame:
     """by and n, mean, std, min, max, slope, mean_change, mean_abs_change, above_mean, crossings of the series' mean."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics as X
+from ..operators import forecast as FC
 from ..operators import structure as G
 from .registry import query, table
 
@@ -127,6 +128,18 @@ def mean_shifts(spark: SparkSession, sf: str) -> DataFrame:
     return X.mean_shifts(_events(spark, sf), U, O_, "value", prior_scale=0.5).select("user_id", "ts", _r("score"), "is_change")
 
 
+@query(
+    f"""WITH a AS (SELECT user_id, ts, value, value - lag(value) OVER ({_W}) AS d FROM events), b AS (SELECT *, lag(d) OVER ({_W}) AS e FROM a),
+    g AS (SELECT user_id, regr_slope(d, e) AS w, regr_intercept(d, e) AS k, arg_max(d, ts) AS last, arg_max(value, ts) AS x, avg(d) AS m, count(d) AS n FROM b GROUP BY user_id),
+    s AS (SELECT user_id, x, CASE WHEN n >= 4 THEN k + w * last ELSE m END AS one, CASE WHEN n >= 4 THEN k ELSE m END AS k, CASE WHEN n >= 4 THEN w ELSE 0 END AS w FROM g WHERE n > 0)
+    SELECT user_id, 1 AS step, round(x + one + 1e-9, 4) AS forecast FROM s UNION ALL SELECT user_id, 2, round(x + one + k + w * one + 1e-9, 4) FROM s"""
+)
+def forecast_autoregressive(spark: SparkSession, sf: str) -> DataFrame:
+    df = _events(spark, sf)
+    long = df.groupBy("user_id").agg(F.count("value").alias("n")).where("n > 1").select("user_id")
+    return FC.autoregressive(df.join(long, "user_id"), U, O_, "value", 2, p=1, d=1).select("user_id", "step", _r("forecast", 4))
+
+
 def _places(spark: SparkSession, sf: str) -> DataFrame:
     """Customers hang on nations, nations on regions, and a ring leads through all nations."""
     of = lambda name, *columns: table(spark, sf, name).selectExpr(*columns)

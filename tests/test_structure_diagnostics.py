@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallgrass.operators import diagnostics as X
+from tallgrass.operators import forecast as FC
 from tallgrass.operators import ml as ML
 from tallgrass.operators import structure as G
 
@@ -112,3 +113,19 @@ def test_choose_model(spark):
     name, model, scores = ML.choose_model(df, ["x"], "y", {"linear_regression": {"regParam": [0.0, 5.0]}, "tree_regressor": {"maxDepth": [1]}}, "rmse", folds=2)
     assert name == "linear_regression" and scores[name] < 0.01
     assert math.isclose(ML.predict(model, df).orderBy("x").first().prediction, 1.0, abs_tol=1e-3)
+
+
+def test_autoregression(spark):
+    x = [1.0, 4.0]
+    while len(x) < 14:
+        x.append(2 + 0.6 * x[-1] - 0.3 * x[-2])
+    walk = [0.0]
+    for v in x:
+        walk.append(walk[-1] + v)
+    rows = [("ar", i, v) for i, v in enumerate(x[:10])] + [("sum", i, v) for i, v in enumerate(walk[:12])] + [("one", 0, 7.0), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "g string, t int, v double")
+    plain = {(r.g, r.step): r.forecast for r in FC.autoregressive(df, ["g"], ["t"], "v", 3, p=2).collect()}
+    assert all(math.isclose(plain["ar", h], x[9 + h], rel_tol=1e-8) for h in (1, 2, 3))
+    assert plain["one", 3] == 7 and ("none", 1) not in plain
+    summed = {(r.g, r.step): r.forecast for r in FC.autoregressive(df, ["g"], ["t"], "v", 2, p=2, d=1).collect()}
+    assert all(math.isclose(summed["sum", h], walk[11 + h], rel_tol=1e-8) for h in (1, 2)) and summed["one", 1] == 7
