@@ -1,13 +1,15 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; each is normalised and looked up among known licence sentences, which gives a sequence of
-sentence identifiers. Ordered rules match runs of that sequence: at each place the first rule that matches takes its
+A text is cut into sentences, at blank lines and at a full stop, ! or ? before white space; wrapped lines stay together. A known
+licence sentence begins and ends at the start and end of a sentence, a line or a part before a semicolon, and may
+run over several of them. All are normalised and looked up, which gives a sequence of sentence identifiers. Ordered rules match runs of that sequence: at each place the first rule that matches takes its
 run, and the scan goes on behind it. A sentence that is known but taken by no rule is reported as `unmatched`.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,29 +18,31 @@ from pyspark.sql import functions as F
 
 from .session import bounded_batches
 
-#: Known sentences, normalised, by identifier (fixed values: patterns that a whole sentence must match).
+#: What may stand before the name of a licence.
+LEAD = r"(?:this .{1,60} is )?"
+#: Known sentences, normalised, by identifier (fixed values: patterns that one or more whole lines of a sentence must match).
 SENTENCES = {
     "spdx": r"spdx license identifier (?P<id>[a-z0-9 .+-]+?)",
-    "mit_name": r"(?:(?:released|licensed|distributed|available|provided|published) )?(?:(?:under|by) )?(?:the terms of )?(?:the )?mit license(?: mit)?",
+    "mit_name": LEAD + r"(?:(?:released|licensed|distributed|available|provided|published) )?(?:(?:under|by) )?(?:the terms of )?(?:the )?mit license(?: mit)?",
     "mit_grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit_notice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "as_is": r"(?:the|this) software is provided (?:by the .{1,80} )?as is .*",
     "no_liability": r"in no event shall (?:the )?(?:authors?|copyright) .*",
-    "apache_name": r"(?:this .{1,60} is )?(?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?apache license(?: version)? 2 0(?: the license)?",
+    "apache_name": LEAD + r"(?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?apache license(?: version)? 2 0(?: the license)?",
     "apache_copy": r"you may not use this file except in compliance with the license",
-    "apache_obtain": r"you may obtain a copy of the license at .*",
+    "apache_obtain": r"you may obtain a copy of the license at(?: .*)?",
     "apache_as_is": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache_see": r"see the license for the specific language governing permissions and limitations under the license",
-    "bsd_name": r"(?:(?:released|licensed|distributed|available) )?(?:under )?(?:the )?(?:terms of the )?(?:new |modified |simplified )?(?:bsd|(?P<n>[234]) clause bsd|bsd (?P<m>[234]) clause) license",
+    "bsd_name": LEAD + r"(?:(?:released|licensed|distributed|available) )?(?:under )?(?:the )?(?:terms of the )?(?:new |modified |simplified )?(?:bsd|(?P<n>[234]) clause bsd|bsd (?P<m>[234]) clause) license",
     "bsd_grant": r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": r"(?:1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": r"(?:2 )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd_endorse": r"(?:3 )?neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission",
-    "gpl_name": r"(?:this .{1,40} is )?(?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?gnu (?P<kind>lesser general|affero general|general) public license(?: as published by the free software foundation)?(?: (?:version|v) ?(?P<v>[123](?: [01])?))?(?P<later> or (?:\(?at your option\)? )?any later version)?",
+    "gpl_name": LEAD + r"(?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?gnu (?P<kind>lesser general|affero general|general) public license(?: as published by the free software foundation)?(?: (?:version|v) ?(?P<v>[123](?: [01])?))?(?P<later> or (?:\(?at your option\)? )?any later version)?",
     "gpl_free": r"this program is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>lesser general|affero general|general) public license as published by the free software foundation either version (?P<v>[123](?: [01])?) of the license or at your option any later version",
     "gpl_hope": r"this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl_see": r"see the gnu (?:lesser general|affero general|general) public license for more details",
-    "cc_name": r"(?:this (?:work|document|text|page) is )?(?:licensed|released|distributed|available) under (?:a |the )?(?:creative commons |cc )(?P<cc>by(?: (?:nc sa|nc nd|nc|sa|nd))?|attribution(?: (?:non ?commercial|share ?alike|no ?derivatives))*)(?: (?P<v>[1234] [05]))?(?: international| unported)?(?: license)?",
+    "cc_name": LEAD + r"(?:licensed|released|distributed|available) under (?:a |the )?(?:creative commons |cc )(?P<cc>by(?: (?:nc sa|nc nd|nc|sa|nd))?|attribution(?: (?:non ?commercial|share ?alike|no ?derivatives))*)(?: (?P<v>[1234] [05]))?(?: international| unported)?(?: license)?",
     "cc_zero": r"(?:(?:this work is )?(?:licensed|released|dedicated) (?:under|to) )?(?:the )?(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?(?: license)?",
     "mpl": r"this source code form is subject to the terms of the mozilla public license v 2 0",
     "public_domain": r"(?:this .{1,40} is |released |placed |dedicated )(?:into |in |to )?the public domain",
@@ -61,13 +65,26 @@ RULES = (
     ("Public-Domain", ("public_domain",)),
     ("All-Rights-Reserved", ("all_rights",)),
 )
-#: A text without any of these can't hold a known sentence.
-HINT = re.compile(r"licen|permission|public domain|redistribut|rights reserved|as is|cc0|creative commons|liab|without warranty|free software|applicable law|gnu ", re.I)
-#: The same among the sentences of a text.
-END = re.compile(r"(?<=[.!?;])\s+|\n+|\r+")
+#: A text without any of these can't hold a known sentence. Words of one may stand in two lines.
+HINT = re.compile(r"licen|permission|public[^a-z0-9+]+domain|redistribut|rights[^a-z0-9+]+reserved|as[^a-z0-9+]+is|cc0|creative[^a-z0-9+]+commons|liab|warrant|free[^a-z0-9+]+software|applicable[^a-z0-9+]+law|gnu[^a-z0-9+]", re.I)
+#: Between sentences: white space behind an end mark, or lines without a letter or digit (of ASCII: known sentences have no others).
+END = re.compile(r"(?<=[.!?])\s+|(?:\r\n?+|\n)(?:[^A-Za-z0-9\r\n]*+(?:\r\n?+|\n))+")
+#: Between the lines and parts of a sentence.
+SOFT = re.compile(r"(?<=;)\s+|[\r\n]+")
 NAMES = {"general": "GPL", "lesser general": "LGPL", "affero general": "AGPL"}
 
-_known = [(name, re.compile(p)) for name, p in SENTENCES.items()]
+
+def _over_lines(pattern: str) -> re.Pattern[bytes]:
+    """The pattern over the lines of a sentence, which MORE or KNOWN joins, ending with a line: its spaces match both, its dots no KNOWN."""
+    each = {" ": r"[ \n|]", ".": r"[^|]"}
+    # character classes and escapes stay as they are
+    lines = re.sub(r"\[[^]]*\]|\\.|[ .]", lambda m: each.get(m[0], m[0]), pattern)
+    return re.compile(f"(?:{lines})(?=[\\n|]|\\Z)".encode())
+
+
+#: What stands before a line: at a line with which a known sentence begins, KNOWN.
+MORE, KNOWN = b"\n|"
+_known = [(name, _over_lines(p)) for name, p in SENTENCES.items()]
 
 
 def normalise(sentence: str) -> str:
@@ -75,25 +92,51 @@ def normalise(sentence: str) -> str:
     return " ".join(re.findall(r"[a-z0-9+]+", sentence.lower()))
 
 
+def _pieces(text: str, cut: re.Pattern[str], at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Start and end of what cut leaves of text[at:end]."""
+    for m in cut.finditer(text, at, end):
+        yield at, m.start()
+        at = m.end()
+    yield at, end
+
+
 def sentence_ids(text: str) -> list[tuple[str, dict[str, str], int, int]]:
     """Identifier, named parts, start and end (code points) of each known sentence of a text, in order."""
     found = []
     if not HINT.search(text):
         return found
-    at = 0
-    for m in [*END.finditer(text), None]:
-        stop = len(text) if m is None else m.start()
-        sentence = text[at:stop]
-        # an unmistakable bound: no known sentence is as long; longer ones can't match
-        if sentence and HINT.search(sentence):
-            norm = normalise(sentence)
-            for name, pattern in _known:
-                hit = pattern.fullmatch(norm)
-                if hit:
-                    lead = len(sentence) - len(sentence.lstrip())
-                    found.append((name, {k: v for k, v in hit.groupdict().items() if v}, at + lead, at + len(sentence.rstrip())))
-                    break
-        at = stop if m is None else m.end()
+    for at, stop in _pieces(text, END, 0, len(text)):
+        if HINT.search(text, at, stop):
+            found += _in_sentence(text, at, stop)
+    return found
+
+
+def _in_sentence(text: str, at: int, stop: int) -> list[tuple[str, dict[str, str], int, int]]:
+    lines = [(s, e, norm.encode()) for s, e in _pieces(text, SOFT, at, stop) if (norm := normalise(text[s:e]))]
+    buffer = bytearray(bytes([MORE]).join(x[2] for x in lines))
+    begins, hits, k = [], {}, 0
+    for x in lines:
+        begins.append(k)
+        k += len(x[2]) + 1
+    # from the last line on: what a wildcard takes ends before a line with which a known sentence begins
+    for i in range(len(lines) - 1, -1, -1):
+        for name, pattern in _known:
+            hit = pattern.match(buffer, begins[i])
+            if hit:
+                hits[i] = (name, {k: re.sub(r"[\n|]", " ", v.decode()) for k, v in hit.groupdict().items() if v}, bisect_left(begins, hit.end()))
+                if i:
+                    buffer[begins[i] - 1] = KNOWN
+                break
+    found, i = [], 0
+    while i < len(lines):
+        if i in hits:
+            name, parts, after = hits[i]
+            (first, _, _), (last, end, _) = lines[i], lines[after - 1]
+            start = end - len(text[first:end].lstrip())
+            found.append((name, parts, start, last + len(text[last:end].rstrip())))
+            i = after
+        else:
+            i += 1
     return found
 
 

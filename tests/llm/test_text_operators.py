@@ -284,3 +284,84 @@ def test_license_scan_odd_rows(spark):
     assert len(got) == odd(spark).count()
     assert all(r.licenses == [] for r in got)
     assert license.scan_licenses(odd(spark).limit(0)).count() == 0
+
+
+AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, ARISING FROM THE SOFTWARE."""
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+
+""" + AS_IS,
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission.
+
+""" + AS_IS,
+    "GPL-3.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+@pytest.mark.parametrize(("mark", "feed"), [("", "\n"), (" * ", "\n"), ("# ", "\r\n")])
+def test_wrapped_license_texts_are_one_span(name, mark, feed):
+    notice = feed.join(mark + x for x in WRAPPED[name].split("\n"))
+    text = f"some words{feed}{feed}é {feed}{notice}{feed}{feed}more words"
+    ((got, start, end),) = license.match_rules(license.sentence_ids(text))
+    assert got == name
+    assert start == text.index(notice.lstrip(" "))
+    assert end == text.index(notice) + len(notice)
+
+
+def test_every_sentence_of_a_wrapped_license_is_found():
+    ids = lambda t: [x[0] for x in license.sentence_ids(t)]
+    assert ids(WRAPPED["MIT"]) == ["mit_grant", "mit_notice", "as_is", "no_liability"]
+    assert ids(WRAPPED["BSD-3-Clause"]) == ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "as_is", "no_liability"]
+    assert ids(WRAPPED["GPL-3.0-or-later"]) == ["gpl_free", "gpl_hope", "gpl_see"]
+    assert ids(WRAPPED["Apache-2.0"]) == ["apache_name", "apache_copy", "apache_obtain", "apache_as_is", "apache_see"]
+
+
+def test_license_names_with_a_lead_and_between_other_lines():
+    name = lambda t: [x[0] for x in license.match_rules(license.sentence_ids(t))]
+    assert name("This software is released under the MIT License.") == ["MIT"]
+    assert name("This library is distributed under the terms of the\nnew BSD license.") == ["BSD"]
+    assert name("a heading\nLicensed under CC BY 4.0\nand a line") == ["CC-BY-4.0"]
+    # no wildcard takes a line that is a known sentence
+    assert name("Copyright 2020 X\nReleased under the MIT License\nAll rights reserved") == ["MIT", "All-Rights-Reserved"]
+    assert name("The software is provided as is\nand so on\n" + WRAPPED["MIT"]) == ["unmatched", "MIT"]
