@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _grown(seen: DataFrame, front: DataFrame) -> DataFrame:
+    """Both, cut; in no more parts than a shuffle has, as unions of many rounds would add up theirs."""
+    return _cut(seen.unionByName(front).coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
@@ -30,18 +36,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count("*").alias("degree"))
 
 
-def bfs_levels(edges: DataFrame, start: object, directed: bool = True, limit: int = 100) -> DataFrame:
-    """id and level of all vertices reached from start."""
+def bfs_levels(edges: DataFrame, start: object, directed: bool = True, limit: int | None = None) -> DataFrame:
+    """id and level of all vertices reached from start, in at most limit steps if one is given."""
     e = edges.select("src", "dst").distinct() if directed else undirected(edges)
     seen = _cut(vertices(edges).where(F.col("id") == start).withColumn("level", F.lit(0)))
-    front, k = seen, 0
-    while k < limit:
-        k += 1
+    front = seen
+    for k in count(1) if limit is None else range(1, limit + 1):
         new = front.join(e, front["id"] == e["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         front = _cut(new.withColumn("level", F.lit(k)))
         if front.isEmpty():
             break
-        seen = _cut(seen.union(front))
+        seen = _grown(seen, front)
     return seen
 
 
@@ -156,20 +161,20 @@ def hits(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6) ->
 # --- distances ---
 
 
-def distances_from(edges: DataFrame, starts: DataFrame | None = None, directed: bool = True, limit: int = 100) -> DataFrame:
-    """start, id and distance in edges for all vertices reached from each start (all vertices by default).
+def distances_from(edges: DataFrame, starts: DataFrame | None = None, directed: bool = True, limit: int | None = None) -> DataFrame:
+    """start, id and distance in edges for all vertices reached from each start (all vertices by default), up to a limit if given.
 
     One row per pair that is reached: with many starts that is for small graphs, as all-pairs distances are.
     """
     e = _cut(edges.select("src", "dst").distinct() if directed else undirected(edges))
     chosen = vertices(edges) if starts is None else starts.select("id").distinct()
     seen = front = _cut(chosen.select(F.col("id").alias("start"), "id", F.lit(0).alias("distance")))
-    for k in range(1, limit + 1):
+    for k in count(1) if limit is None else range(1, limit + 1):
         new = front.join(e, front["id"] == e["src"]).select("start", F.col("dst").alias("id")).distinct().join(seen, ["start", "id"], "left_anti")
         front = _cut(new.withColumn("distance", F.lit(k)))
         if front.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
+        seen = _grown(seen, front)
     return seen
 
 
@@ -300,7 +305,7 @@ def betweenness(edges: DataFrame, directed: bool = True) -> DataFrame:
         front = _cut(step.join(d, ["start", "id", "distance"], "left_semi"))
         if front.isEmpty():
             break
-        paths = _cut(paths.unionByName(front))
+        paths = _grown(paths, front)
     a = paths.select("start", F.col("id").alias("mid"), F.col("distance").alias("da"), F.col("paths").alias("pa"))
     b = paths.select(F.col("start").alias("mid"), F.col("id").alias("end"), F.col("distance").alias("db"), F.col("paths").alias("pb"))
     whole = paths.select("start", F.col("id").alias("end"), F.col("distance").alias("dw"), F.col("paths").alias("pw"))

@@ -96,6 +96,17 @@ def _floyd(n, edges):
     return d
 
 
+def test_paths_of_more_than_100_edges(spark):
+    n = 103
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long").coalesce(1)
+    assert {x.id: x.level for x in G.bfs_levels(chain, 0).collect()} == {i: i for i in range(n + 1)}
+    assert G.bfs_levels(chain, 0, limit=3).count() == 4
+    # of vertex i the n - i behind it are reached, at 1, 2, ... edges
+    want = {i: (n - i) ** 2 / (n * (n - i) * (n - i + 1) / 2) if i < n else 0 for i in range(n + 1)}
+    got = {x.id: x.closeness for x in G.closeness(chain).collect()}
+    assert got.keys() == want.keys() and all(near(got[i], want[i]) for i in want)
+
+
 def test_graph_against_brute_force(spark):
     r = random.Random(3)
     n = 9
