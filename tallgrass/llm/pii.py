@@ -7,9 +7,9 @@ disclosure is the pointwise mutual information of term and entity, over the info
 
     log2(N * n(term, entity) / (n(term) * n(entity))) / log2(N / n(entity))
 
-with counts of documents: n(term, entity) of those in which the term stands within REACH words of the entity. It is 1 for a
+with counts of distinct texts: n(term, entity) of those in which the term stands within REACH words of the entity. It is 1 for a
 term that is only found beside the entity, and 0 for one independent of it. Terms of a disclosure of at
-least MIN_DISCLOSURE, seen beside the entity in at least MIN_CONTEXTS documents and different surroundings (so that copies of a document
+least MIN_DISCLOSURE, seen beside the entity in at least MIN_CONTEXTS texts and different surroundings (so that copies of a document
 count once), are masked in the documents that hold the entity.
 """
 
@@ -108,8 +108,8 @@ def base_spans(text: Column) -> Column:
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """entity (kind:match) and term, of the terms that give the entity away.
 
-    docs: column text, all documents. found: columns text and spans of those with entities. Counts are over
-    all documents. What surrounds an entity is taken from found; how often its candidate terms are used
+    docs: column text, all documents. found: columns text and spans of those with entities. Counts are of distinct
+    texts, over all documents. What surrounds an entity is taken from found; how often its candidate terms are used
     anywhere is counted over docs.
     """
     each = found.select("text", F.explode("spans").alias("s")).select(
@@ -132,12 +132,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     n_pairs = pairs.count()
     if n_pairs == 0:
         return pairs.select("entity", "term")
-    total = checkpoint(docs.agg(F.count("*").alias("n")))
+    total = checkpoint(docs.agg(F.countDistinct(F.xxhash64("text")).alias("n")))
 
     def scored(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
         """pairs with the disclosure that term counts over texts give."""
         wanted = pairs.select("term").distinct()
-        used = texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(sized(wanted, n), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+        used = texts.select(F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(sized(wanted, n), "term").groupBy("term").agg(F.countDistinct("doc").alias("n_term"))
         both = pairs.join(used, "term").crossJoin(F.broadcast(total))  # total: one row
         pmi = F.log2(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
         of_entity = F.log2(F.col("n") / F.col("n_entity"))

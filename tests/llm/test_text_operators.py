@@ -195,6 +195,16 @@ def test_pii_adds_terms_that_give_an_entity_away(spark):
     assert pii.sanitize(odd(spark).limit(0)).count() == 0
 
 
+def test_pii_terms_do_not_hide_behind_copies(spark):
+    told = [f"lorem w{i} x{i} nemo the nemo@sea.org and v{i} t{i} end" for i in range(3)]
+    other = [f"word{i} the text {i} and more end" for i in range(60)]
+    for texts in (told + other + told[:1] * 300, told + other + other[:1] * 300):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.text for r in pii.sanitize(df).collect()}
+        assert {got[i] for i, t in enumerate(texts) if t == told[0]} == {"lorem w0 x0 [TERM] the [EMAIL] and v0 t0 end"}
+        assert got[10] == "word7 the text 7 and more end"
+
+
 # --- mixing ---
 
 
