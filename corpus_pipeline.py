@@ -37,11 +37,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the least id stays; of rows that share that id, one."""
-    groups = ngram_jaccard_components(docs, n=SHINGLE, percent=SIMILAR)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # of rows with the id of a document that stays, those that are no copy of another row with it
+    """Of each group one document stays, of the least id; a document without an id only if none of its group has one."""
+    # ids can be null or used by several texts, so a document is known by id and text; null ids come last
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    groups = ngram_jaccard_components(docs.select(key.alias("key"), "text"), id_col="key", n=SHINGLE, percent=SIMILAR)
+    gone = groups.where(~F.col("key").eqNullSafe(F.col("component_id"))).select("key.id", "key.hash").distinct()
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["hash"]), "left_anti")
+    # of copies that share the id too, one
     return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 

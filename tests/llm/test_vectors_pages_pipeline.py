@@ -150,3 +150,15 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
         if k == 3:
             assert {r.doc_id: r.text for r in docs.collect()} == {1: None, 2: "", 3: "same text of some words", 5: "[EMAIL] is it", None: "lonely"}
     assert docs.count() == 5
+
+
+def test_near_copies_keep_one_of_each_group_whatever_the_ids(spark):
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    z, lone = " ".join(f"z{i}" for i in range(40)), "lonely text"
+    # 5 is used by two texts, of which one is a near copy; null ids are copies of a kept row and of each other
+    rows = [(5, x), (5, y), (3, y + " more"), (None, x), (None, z), (None, z), (None, z + " more"), (None, lone), (7, lone + " too"), (8, x), (8, x)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    of_z = [g for g in got if g[1].startswith("z0 ")]
+    assert len(of_z) == 1 and of_z[0][0] is None
+    assert sorted((g for g in got if g not in of_z), key=str) == sorted([(5, x), (3, y + " more"), (None, lone), (7, lone + " too")], key=str)
