@@ -62,7 +62,7 @@ def _words(attrs: str) -> tuple[str, ...]:
     low = attrs.lower()
     for m in ATTR.finditer(low):
         if m[1] in TELLING:
-            found += PART.findall(m[2] or m[3] or m[4] or "")[:12]
+            found += PART.findall(m[2] or m[3] or m[4] or "")
     if re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", low) or re.search(r"display\s*:\s*none|aria-hidden\s*=\s*.?true", low):
         found.append("hidden")
     return tuple(dict.fromkeys(found))

@@ -105,6 +105,12 @@ def test_main_text_of_broken_and_odd_pages(spark):
     assert h.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_all_words_of_a_class_are_read():
+    utilities = " ".join(f"{a}{b}" for a in "abcd" for b in "wxyz")
+    node = next(n for n in h.parse(f"<div class='{utilities} sidebar'>text</div>") if n.tag == "div")
+    assert node.words[-1] == "sidebar" and len(node.words) == 17
+
+
 def test_pages_of_the_tables(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     model = h.default_model()
