@@ -24,6 +24,8 @@ from .session import Written, checkpoint, sized
 
 #: Words on either side of an entity that make its surroundings.
 REACH = 4
+#: Items that are folded at once.
+CHUNK = 64
 MIN_CONTEXTS, MIN_DISCLOSURE = 3, 0.6
 
 #: Patterns of the entities (fixed values), in the order of kinds. Each begins where the leftmost match
@@ -71,6 +73,30 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once: inside a lambda an outer expression would be worked out for each element."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda v, _: v, body)
+
+
+def running(items: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each item the int that add(int, item) has come to before it, from 0.
+
+    By chunks: what a fold has so far is copied at each step, so it holds a chunk's ints, or one of each chunk.
+    """
+    last = lambda so_far: F.element_at(so_far, -1)
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda k: F.slice(xs, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def within(chunks: Column, heads: Column) -> Column:
+        each = lambda c, k: F.aggregate(c, F.array(F.get(heads, k)), lambda so_far, x: F.array_append(so_far, add(last(so_far), x)), lambda so_far: F.slice(so_far, F.lit(1), F.size(so_far) - 1))
+        return F.flatten(F.transform(chunks, each))
+
+    def chunked(chunks: Column) -> Column:
+        heads = F.aggregate(chunks, F.array(F.lit(0)), lambda so_far, c: F.array_append(so_far, F.aggregate(c, last(so_far), add)))
+        return let(heads, lambda h: within(chunks, h))
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, let(cut(xs), chunked)).otherwise(F.array().cast("array<int>")))
+
+
 def located(text: Column, pattern: str) -> Column:
     """All matches of a pattern that never matches the empty string: array of (start, end, match), in code points.
 
@@ -78,15 +104,13 @@ def located(text: Column, pattern: str) -> Column:
     """
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.filter(F.zip_with(between, found, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("size"), m.alias("m"))), lambda x: x["m"].isNotNull())
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"))).alias("out"))
+    def place(xs: Column) -> Column:
+        at = running(xs, lambda at, x: at + x["gap"] + x["size"])
+        return F.zip_with(xs, at, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["m"].alias("match")))
 
-    pairs = F.transform(found, lambda m, i: F.struct(F.element_at(between, i + 1).alias("gap"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
+    return let(pairs, place)
 
 
 def _none() -> Column:
@@ -105,46 +129,80 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*[_kind_spans(text, rank, kind) for rank, kind in enumerate(KINDS)]))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+def stretches(spans: Column) -> Column:
+    """Array of (start, end, kind) that covers the sorted spans, without overlaps; one that goes on from another has no kind."""
+    reached = running(spans, lambda at, s: F.greatest(at, s["end"]))
+    each = F.zip_with(spans, reached, lambda s, at: F.struct(F.greatest(at, s["start"]).alias("start"), s["end"].alias("end"), F.when(s["start"] >= at, s["kind"]).alias("kind")))
+    return F.filter(each, lambda x: x["end"] > x["start"])
+
+
+def _gap(parts: Column, x: Column, i: Column) -> tuple[Column, Column]:
+    """Start and size of what lies between a stretch, the i-th, and the one before."""
+    start = F.coalesce(F.get(parts, i - 1)["end"], F.lit(0))
+    return start, x["start"] - start
+
+
+def free_words(text: Column, spans: Column) -> Column:
+    """Array of (start, end, match) of the words that no span touches."""
+
+    def cover(parts: Column) -> Column:
+        # of each code point, whether a span holds it
+        each = F.transform(parts, lambda x, i: F.concat(F.array_repeat(F.lit(False), _gap(parts, x, i)[1]), F.array_repeat(F.lit(True), x["end"] - x["start"])))
+        return F.flatten(F.concat(each, F.array(F.array_repeat(F.lit(False), F.length(text)))))
+
+    return let(let(stretches(spans), cover), lambda c: F.filter(located(text, WORD), lambda m: ~F.array_contains(F.slice(c, m["start"] + 1, m["end"] - m["start"]), F.lit(True))))
+
+
+def surroundings(text: Column, spans: Column) -> Column:
+    """Array of (entity, words) of the spans: the REACH words on either side that no span touches and that don't begin with a digit."""
+    words = F.filter(free_words(text, spans), lambda m: ~m["match"].rlike("^[0-9]"))
+    marks = F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("span"), F.concat_ws(":", s["kind"], F.lower(s["match"])).alias("name")))
+    terms = F.transform(words, lambda m: F.struct(m["start"].alias("at"), F.lit(0).alias("span"), F.lower(m["match"]).alias("name")))
+
+    def around(all_: Column) -> Column:
+        named = F.transform(F.filter(all_, lambda x: x["span"] == 0), lambda x: x["name"])
+        # the place of a span among all, less the spans before it, is the number of words before it
+        at = F.filter(F.transform(all_, lambda x, i: F.struct(x["span"].alias("span"), x["name"].alias("name"), i.alias("i"))), lambda x: x["span"] == 1)
+        return let(named, lambda w: F.transform(at, lambda x, k: F.struct(x["name"].alias("entity"), _beside(w, x["i"] - k).alias("words"))))
+
+    def _beside(w: Column, n: Column) -> Column:
+        return F.concat(F.slice(w, F.greatest(n - REACH, F.lit(0)) + 1, F.least(n, F.lit(REACH))), F.slice(w, n + 1, F.lit(REACH)))
+
+    return let(F.sort_array(F.concat(marks, terms)), around)
+
+
+def disclosing_terms(docs: DataFrame) -> DataFrame:
     """entity (kind:match) and term, of the terms that give the entity away.
 
-    docs: column text, all documents. found: columns text and spans of those with entities. Counts are of distinct
-    texts, over all documents. What surrounds an entity is taken from found; how often its candidate terms are used
-    anywhere is counted over docs.
+    docs: columns text, spans and hash (of the text), all documents. Counts are of distinct texts, over all
+    documents. A term's texts are those with the term as a word anywhere.
     """
-    each = found.select("text", F.explode("spans").alias("s")).select(
-        F.concat_ws(":", "s.kind", F.lower("s.match")).alias("entity"),
-        F.expr("substr(text, greatest(s.start - 200, 0) + 1, least(s.start, 200))").alias("left"),
-        F.expr("substr(text, s.end + 1, 200)").alias("right"),
-        F.xxhash64("text").alias("doc"),
-    )
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
-    # other entities nearby are no terms
-    bare = lambda c: F.regexp_replace(c, r"\S*@\S*|(?<![\p{L}\p{N}])\+?[0-9][0-9().\x20-]*+", " ")
-    lw, rw = words(bare(F.col("left"))), words(bare(F.col("right")))
-    # a word cut off by the reach of 200 characters lies beyond REACH words or is left out
-    around = F.concat(F.slice(lw, F.greatest(F.size(lw) - REACH + 1, F.lit(1)), F.lit(REACH)), F.slice(rw, F.lit(1), F.lit(REACH)))
-    near = each.select("entity", "doc", around.alias("words")).withColumn("context", F.xxhash64("words"))
-    many = near.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc").alias("n_entity")).where(F.col("contexts") >= MIN_CONTEXTS)
-    pairs = near.join(many, "entity").select("entity", "n_entity", "doc", "context", F.explode(F.array_distinct("words")).alias("term"))
-    pairs = pairs.groupBy("entity", "term", "n_entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc").alias("n_both")).where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("n_both") >= MIN_CONTEXTS))
-    pairs = checkpoint(pairs)
+    found = docs.where(F.size("spans") > 0)
+    each = found.select(F.col("hash").alias("doc"), F.explode(surroundings(F.col("text"), F.col("spans"))).alias("s")).select("doc", "s.entity", "s.words").withColumn("context", F.xxhash64("words"))
+    # a term of an entity stands in several texts and surroundings, so an entity of fewer has none
+    pairs = each.select("entity", "doc", "context", F.explode(F.array_distinct("words")).alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc").alias("n_both")).where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("n_both") >= MIN_CONTEXTS))
+    pairs = checkpoint(pairs.select("entity", "term", "n_both"))
     n_pairs = pairs.count()
     if n_pairs == 0:
         return pairs.select("entity", "term")
-    total = checkpoint(docs.agg(F.countDistinct(F.xxhash64("text")).alias("n")))
+    wanted = pairs.select("entity").distinct()
+    held = found.select(F.col("hash").alias("doc"), F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))).alias("entity"))
+    entities = held.join(sized(wanted, n_pairs), "entity").groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"))
+    pairs = pairs.join(sized(entities, n_pairs), "entity")
+    total = docs.agg(F.countDistinct("hash").alias("n")).first().n
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
 
     def scored(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
         """pairs with the disclosure that term counts over texts give."""
         wanted = pairs.select("term").distinct()
-        used = texts.select(F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(sized(wanted, n), "term").groupBy("term").agg(F.countDistinct("doc").alias("n_term"))
-        both = pairs.join(used, "term").crossJoin(F.broadcast(total))  # total: one row
-        pmi = F.log2(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-        of_entity = F.log2(F.col("n") / F.col("n_entity"))
-        return both.where((of_entity > 0) & (pmi / of_entity >= MIN_DISCLOSURE)).select("entity", "term", "n_entity", "n_both")
+        used = texts.select(F.col("hash").alias("doc"), F.explode(F.array_distinct(words)).alias("term")).join(sized(wanted, n), "term").groupBy("term").agg(F.countDistinct("doc").alias("n_term"))
+        pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+        of_entity = F.log2(F.lit(float(total)) / F.col("n_entity"))
+        return pairs.join(sized(used, n), "term").where((of_entity > 0) & (pmi / of_entity >= MIN_DISCLOSURE)).select("entity", "term", "n_entity", "n_both")
 
     # a term is used at least as often as in the texts with entities: what fails already there (all common words) can't pass
-    likely = checkpoint(scored(pairs, found.select("text"), n_pairs))
+    likely = checkpoint(scored(pairs, found, n_pairs))
     n_likely = likely.count()
     if n_likely == 0:
         return likely.select("entity", "term")
@@ -155,36 +213,34 @@ def find_pii(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     """docs with columns <prefix>base_spans and <prefix>all_spans: arrays of (start, rank, end, kind, match).
 
     Code points, end exclusive. all_spans adds the disclosing terms of the entities that the text itself
-    holds (kind `term`), wherever they stand in the text. A null or empty text has no spans. Rows repeated
+    holds (kind `term`), wherever they stand in the text as words that no entity touches. A null or empty text has no spans. Rows repeated
     are rows of their own. All columns of docs stay; should one of them be called like a new one, give a prefix.
-    An empty table gives an empty result.
+    An empty table gives an empty result. The rows with their base spans are written once in the
+    shared folder, and the result reads them there. Texts are told apart by a 64-bit hash.
     """
-    spans, everything = f"{prefix}base_spans", f"{prefix}all_spans"
-    for c in (spans, everything):
+    spans, everything, hash_ = f"{prefix}base_spans", f"{prefix}all_spans", f"{prefix}pii_hash"
+    for c in (spans, everything, hash_):
         if c in docs.columns:
             raise ValueError(f"docs has a column {c}; give a prefix")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn(spans, base_spans(text))
-    held = Written(docs.select(text.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0))
-    terms = disclosing_terms(docs.select(text.alias("text")), held.df)
+    out = Written(docs.withColumn(spans, base_spans(text)).withColumn(hash_, F.xxhash64(text))).df
+    terms = disclosing_terms(out.select(text.alias("text"), F.col(spans).alias("spans"), F.col(hash_).alias("hash")))
     # by entity: its terms; few, as each takes several surroundings of one entity
     by = checkpoint(terms.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms")))
-    held.drop()
-    if by.limit(1).count() == 0:
-        return out.withColumn(everything, F.col(spans))
-    key = f"{prefix}pii_key"
-    # by distinct set of entities in a text: all terms to mask in it
-    entities = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"])))))
-    out = out.withColumn(key, F.when(F.size(spans) > 0, entities(F.col(spans))))
-    sets = out.where(F.col(key).isNotNull()).select(key).distinct()
-    mine = sets.select(key, F.explode(key).alias("entity")).join(sized(by, by.count()), "entity")
-    mine = checkpoint(mine.select(F.col(key).alias("k"), F.explode("terms").alias("term")).groupBy("k").agg(F.collect_set("term").alias("terms")))
-    out = out.join(sized(mine, mine.count()), out[key] == mine["k"], "left")
+    n_by = by.count()
+    if n_by == 0:
+        return out.withColumn(everything, F.col(spans)).drop(hash_)
+    # by distinct text that holds such an entity: all terms to mask in it
+    held = out.where(F.size(spans) > 0).select(F.col(hash_).alias("k"), F.explode(F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))).alias("entity"))
+    mine = held.join(sized(by, n_by), "entity").select("k", F.explode("terms").alias("term")).groupBy("k").agg(F.collect_set("term").alias("terms"))
+    mine = checkpoint(mine)
+    # rows of a broadcast are reckoned by the characters of their terms
+    room = mine.agg(F.count("*") + F.coalesce(F.sum(F.length(F.array_join("terms", " "))), F.lit(0)) / 16).first()[0]
+    out = out.join(sized(mine, int(room)), out[hash_] == mine["k"], "left")
     rank = len(KINDS)
-    word = F.filter(located(text, WORD), lambda m: F.array_contains(F.col("terms"), F.lower(m["match"])))
-    word = F.filter(word, lambda m: ~F.exists(F.col(spans), lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    own = F.transform(word, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit("term").alias("kind"), m["match"].alias("match")))
-    return out.withColumn(everything, F.when(F.col("terms").isNull(), F.col(spans)).otherwise(F.sort_array(F.concat(F.col(spans), own)))).drop(key, "k", "terms")
+    words = F.filter(free_words(text, F.col(spans)), lambda m: F.array_contains(F.col("terms"), F.lower(m["match"])))
+    own = F.transform(words, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit("term").alias("kind"), m["match"].alias("match")))
+    return out.withColumn(everything, F.when(F.col("terms").isNull(), F.col(spans)).otherwise(F.sort_array(F.concat(F.col(spans), own)))).drop(hash_, "k", "terms")
 
 
 def joined(spans: Column) -> Column:
@@ -194,15 +250,18 @@ def joined(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """text with each stretch that spans cover generalised to the placeholder of its first span."""
+    names = F.create_map(*[F.lit(x) for p in PLACEHOLDER.items() for x in p])
+
+    def build(chars: Column) -> Column:
+        def piece(parts: Column, x: Column, i: Column) -> Column:
+            start, size = _gap(parts, x, i)
+            return F.concat(F.array_join(F.slice(chars, start + 1, size), ""), F.coalesce(F.element_at(names, x["kind"]), F.lit("")))
 
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.element_at(F.create_map(*[F.lit(x) for p in PLACEHOLDER.items() for x in p]), s["kind"]))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, F.array_append(state["out"], piece)).otherwise(state["out"]).alias("out"))
+        # a last, empty stretch takes what is left
+        end = F.struct(F.size(chars).alias("start"), F.size(chars).alias("end"), F.lit(None).cast("string").alias("kind"))
+        return F.array_join(let(F.concat(stretches(spans), F.array(end)), lambda parts: F.transform(parts, lambda x, i: piece(parts, x, i))), "")
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(spans, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), text.substr(s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.split(text, "", -1), build)).otherwise(text)
 
 
 def sanitize(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 """Operators on texts against brute force, and their defined results for odd inputs."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +207,67 @@ def test_pii_terms_do_not_hide_behind_copies(spark):
         assert got[10] == "word7 the text 7 and more end"
 
 
+def pii_terms_brute(texts):
+    """The term spans of each text: counts of distinct texts, surroundings and disclosure by the definition."""
+    word = re.compile(r"(?:(?!_)\w)+")  # the texts of the test have letters, digits and no other word characters
+    near, contexts, have, use, place = {}, {}, {}, {}, {}
+    for t in set(texts):
+        spans = [(s, e, f"{k}:{t[s:e].lower()}") for s, _, e, k in pii_brute(t)]
+        free = [(m.start(), m.end(), m[0].lower()) for m in word.finditer(t) if not any(s < m.end() and m.start() < e for s, e, _ in spans)]
+        place[t] = spans, free
+        for w in {m[0].lower() for m in word.finditer(t)}:
+            use.setdefault(w, set()).add(t)
+        named = [f for f in free if not f[2][0].isdigit()]
+        for s, _, name in spans:
+            have.setdefault(name, set()).add(t)
+            around = [f[2] for f in named if f[0] < s][-pii.REACH :] + [f[2] for f in named if f[0] > s][: pii.REACH]
+            for w in set(around):
+                near.setdefault((name, w), set()).add(t)
+                contexts.setdefault((name, w), set()).add(tuple(around))
+    n, told = len(set(texts)), {}
+    for (name, w), both in near.items():
+        if len(both) >= pii.MIN_CONTEXTS and len(contexts[name, w]) >= pii.MIN_CONTEXTS and n > len(have[name]):
+            if math.log2(n * len(both) / len(use[w]) / len(have[name])) / math.log2(n / len(have[name])) >= pii.MIN_DISCLOSURE:
+                told.setdefault(name, set()).add(w)
+    for t in texts:
+        spans, free = place[t]
+        terms = {w for _, _, name in spans for w in told.get(name, ())}
+        base = [(s, r, e, k) for s, r, e, k in pii_brute(t)]
+        yield ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(base + [(s, 4, e, "term") for s, e, w in free if w in terms]))
+
+
+def test_pii_terms_are_brute_force(spark):
+    r = random.Random(8)
+    entities = ["ann@sea.org", "bob@sky.net", "+49 30 1234567", "10.1.2.3", "4111 1111 1111 1111"]
+    tells = {"ann@sea.org": "Captain", "+49 30 1234567": "élodie", "10.1.2.3": "gateway"}
+    texts = []
+    for _ in range(220):
+        words = [f"w{r.randint(0, 400)}" for _ in range(r.randint(0, 25))]
+        for e in r.sample(entities, r.choice([0, 0, 1, 2])):
+            at = r.randint(0, len(words))
+            words[at:at] = r.choice([[tells.get(e, "the"), e], [e, "x", tells.get(e, "and").upper()], [f"{tells.get(e, 'a')}{e}"], [f"{e}é", "7up"]])
+        texts.append(r.choice([" ", ", ", "\n"]).join(words))
+    texts += texts[:40] + ["", "captain of élodie"]
+    # a text of 20,000 words with terms and entities throughout, and one of entities alone
+    texts += ["Captain w1 ann@sea.org 12 " * 5_000, "ann@sea.org,Captain." * 3_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = list(pii_terms_brute(texts))
+    got = {x.doc_id: x.spans for x in pii.digests(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum("term" in x for x in want) > 20
+    whole = {x.doc_id: x.text for x in pii.sanitize(df).collect()}
+    assert whole[len(texts) - 2] == "[TERM] w1 [EMAIL] 12 " * 5_000
+
+
+def test_pii_of_long_texts_takes_time_in_proportion(spark):
+    df = spark.createDataFrame([("nemo mail nemo@sea.org ipsum " * 30_000,)], "text string").withColumn("spans", pii.base_spans(F.col("text")))
+    words, name = pii.free_words(F.col("text"), F.col("spans")), pii.masked(F.col("text"), F.col("spans"))
+    began = time.monotonic()
+    got = df.select(F.size("spans").alias("n"), F.size(words).alias("words"), F.length(name).alias("size")).first()
+    assert (got.n, got.words, got.size) == (30_000, 90_000, 30_000 * len("nemo mail [EMAIL] ipsum "))
+    assert time.monotonic() - began < 60
+
+
 # --- mixing ---
 
 
