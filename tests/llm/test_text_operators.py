@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,14 +214,17 @@ def pii_terms_brute(texts):
     near, contexts, have, use, place = {}, {}, {}, {}, {}
     for t in set(texts):
         spans = [(s, e, f"{k}:{t[s:e].lower()}") for s, _, e, k in pii_brute(t)]
-        free = [(m.start(), m.end(), m[0].lower()) for m in word.finditer(t) if not any(s < m.end() and m.start() < e for s, e, _ in spans)]
+        covered = {k for s, e, _ in spans for k in range(s, e)}
+        free = [(m.start(), m.end(), m[0].lower()) for m in word.finditer(t) if covered.isdisjoint(range(m.start(), m.end()))]
         place[t] = spans, free
         for w in {m[0].lower() for m in word.finditer(t)}:
             use.setdefault(w, set()).add(t)
         named = [f for f in free if not f[2][0].isdigit()]
+        starts = [f[0] for f in named]
         for s, _, name in spans:
             have.setdefault(name, set()).add(t)
-            around = [f[2] for f in named if f[0] < s][-pii.REACH :] + [f[2] for f in named if f[0] > s][: pii.REACH]
+            at = bisect_left(starts, s)
+            around = [f[2] for f in named[max(0, at - pii.REACH) : at + pii.REACH]]
             for w in set(around):
                 near.setdefault((name, w), set()).add(t)
                 contexts.setdefault((name, w), set()).add(tuple(around))
