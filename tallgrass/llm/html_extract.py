@@ -1,7 +1,7 @@
 """Main text of pages by a tree-structured graphical model over the DOM.
 
 Each element and each run of text is a node with a binary label, content or not. The model has a
-weight for each feature of a node (tag, words of class and id, share of link text, length, ...) and label, and a
+weight for each feature of a node (tag, words of class and id, what the elements around it are for, share of link text, length, ...) and label, and a
 potential for each pair of labels of a parent and its child, by the kind of the child. Sum-product message
 passing, once upward and once downward, gives the exact marginals of all nodes; a run of text is kept if its
 content marginal is at least one half.
@@ -45,6 +45,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
 PART = re.compile(r"[a-z]+")
+#: Where a word of a name like siteHeader begins.
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Attributes that say what an element is for.
 TELLING = frozenset({"class", "id", "role", "aria-label", "itemprop"})
 
@@ -60,9 +62,9 @@ class Node:
 def _words(attrs: str) -> tuple[str, ...]:
     found: list[str] = []
     low = attrs.lower()
-    for m in ATTR.finditer(low):
-        if m[1] in TELLING:
-            found += PART.findall(m[2] or m[3] or m[4] or "")
+    for m in ATTR.finditer(attrs):
+        if m[1].lower() in TELLING:
+            found += PART.findall(HUMP.sub(" ", m[2] or m[3] or m[4] or "").lower())
     if re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", low) or re.search(r"display\s*:\s*none|aria-hidden\s*=\s*.?true", low):
         found.append("hidden")
     return tuple(dict.fromkeys(found))
@@ -127,15 +129,33 @@ def _text(nodes: list[Node], stack: list[int], raw: str) -> None:
     nodes.append(Node("#text", (), stack[-1], _html.unescape(raw) if "&" in raw else raw))
 
 
+#: Words that layouts use for what is not content, for what is, and for either (fixed values).
+BOILER = {
+    "nav": "nav menu navbar navigation breadcrumb breadcrumbs topnav sitenav mainmenu pagination pager tabs toc",
+    "header": "header masthead banner topbar logo branding sitehead head",
+    "footer": "footer bottom copyright legal sitefoot colophon imprint foot",
+    "aside": "sidebar aside related recommended widget rail trending popular more teaser tags secondary archive",
+    "notice": "cookie consent notice banner gdpr alert popup modal overlay toast privacy message",
+    "ad": "ad ads advert advertisement sponsor sponsored promo promotion adsense adslot partner commercial",
+    "form": "form newsletter subscribe signup search login contact register",
+    "comments": "comments comment respond discussion replies reply disqus thread commentlist feedback responses",
+    "share": "share social sharing follow toolbar buttons meta byline author date",
+}
+CONTENT = "article content main post story entry body text articlebody maincontent postcontent entrycontent richtext prose news blog single hentry"
+NEUTRAL = "container wrapper wrap page site row col layout grid inner box block section panel outer center left right column clearfix item list title group area"
 #: Features of nodes and kinds of children, by number. Words of class and id are hashed to the rest.
 TAGS = {t: i for i, t in enumerate("#root #text html body div p span a ul ol li article main section nav header footer aside form table tr td h1 h2 h3 h4 h5 h6 b i em strong br img pre code blockquote figure figcaption button label input dl dt dd other".split())}
 N_TAGS = len(TAGS)
-HASHED = 1024
+#: So many that words which no labelled page has seldom meet one that has a weight.
+HASHED = 1 << 14
 #: Positions of single features behind the tags.
-BIAS, LINKED, HALF_LINKED, SHORT, MEDIUM, LONG, NO_STOP, HAS_STOP = range(N_TAGS, N_TAGS + 8)
-#: Elements that say what is inside them; a node has a feature for the nearest around it.
-AROUND = {t: N_TAGS + 8 + i for i, t in enumerate("article main nav header footer aside form".split())}
-HASH_AT = N_TAGS + 8 + len(AROUND)
+BIAS, LINKED, HALF_LINKED, SHORT, MEDIUM, LONG, NO_STOP, HAS_STOP, MOST, SOME, LITTLE = range(N_TAGS, N_TAGS + 11)
+#: What an element is for, by its tag or a word of its class, id or role; a node has a feature for each of those it stands in.
+PURPOSES = [*BOILER, "content"]
+PURPOSE = {w: k for k, name in reversed(list(enumerate(PURPOSES))) for w in [*BOILER.get(name, CONTENT).split(), *(["main"] if name == "content" else [])]}
+TAG_PURPOSE = {t: PURPOSES.index(t) for t in ("nav", "header", "footer", "aside", "form")} | {t: PURPOSES.index("content") for t in ("article", "main")}
+IN_AT = N_TAGS + 11
+HASH_AT = IN_AT + len(PURPOSES)
 N_FEATURES = HASH_AT + HASHED
 #: Parent-child potentials by kind of child: text, block, other.
 N_KINDS = 3
@@ -154,6 +174,14 @@ def _own(tag: str, words: tuple[str, ...]) -> tuple[int, ...]:
     return (BIAS, TAGS.get(tag, N_TAGS - 1), *sorted({_hash(w) for w in words}))
 
 
+@lru_cache(65536)
+def _purposes(tag: str, words: tuple[str, ...]) -> frozenset[int]:
+    """Features of what the element is for; of a whole page's classes nothing follows."""
+    if tag in ("html", "body"):
+        return frozenset()
+    return frozenset(IN_AT + k for k in [PURPOSE.get(w) for w in words] + [TAG_PURPOSE.get(tag)] if k is not None)
+
+
 def features(nodes: list[Node]) -> tuple[list[int], list[tuple[int, ...]], np.ndarray, np.ndarray]:
     """The nodes of the model (the root and all that have text), and their feature numbers, parents (among these) and kinds."""
     n = len(nodes)
@@ -167,18 +195,21 @@ def features(nodes: list[Node]) -> tuple[list[int], list[tuple[int, ...]], np.nd
         chars[x.parent] += chars[i]
         linked[x.parent] += linked[i]
     own, out, parent, kind = [], [], [], []
-    place, around = [0] * n, [0] * n
+    place: list[int] = [0] * n
+    around: list[frozenset[int]] = [frozenset()] * n
+    free = max(1, chars[0] - linked[0])
     for i, x in enumerate(nodes):
         c = chars[i]
-        around[i] = AROUND.get(x.tag) or (around[x.parent] if i else 0)
+        if i:
+            around[i] = around[x.parent]
+            if x.text is None and not around[i].issuperset(mine := _purposes(x.tag, x.words)):
+                around[i] = around[i] | mine
         if i and not c:
             continue
         place[i] = len(own)
         own.append(i)
         parent.append(place[x.parent] if i else -1)
-        extra = [SHORT if c < 40 else MEDIUM if c < 200 else LONG]
-        if around[i]:
-            extra.append(around[i])
+        extra = [SHORT if c < 40 else MEDIUM if c < 200 else LONG, *around[i]]
         if linked[i] >= 0.8 * c:
             extra.append(LINKED)
         elif linked[i] >= 0.4 * c:
@@ -188,6 +219,9 @@ def features(nodes: list[Node]) -> tuple[list[int], list[tuple[int, ...]], np.nd
             kind.append(0)
         else:
             kind.append(1 if x.tag in BLOCKS else 2)
+            # how much of the page's text that is no link stands inside
+            part = (c - linked[i]) / free
+            extra.append(MOST if part >= 0.5 else SOME if part >= 0.15 else LITTLE)
         out.append(_own(x.tag, x.words) + tuple(extra))
     return own, out, np.array(parent), np.array(kind)
 
@@ -198,8 +232,8 @@ class Model:
     def __init__(self, weight: np.ndarray, pair: np.ndarray):
         self.weight, self.pair = weight, pair
 
-    def marginals(self, feats: list[tuple[int, ...]], parent: np.ndarray, kind: np.ndarray) -> tuple[list[float], list[list[float]]]:
-        """Content marginal of each node and, for the gradient, the messages' joint marginals of (parent, child) labels."""
+    def marginals(self, feats: list[tuple[int, ...]], parent: np.ndarray, kind: np.ndarray) -> list[float]:
+        """Content marginal of each node."""
         w = self.weight.tolist()
         e = np.exp(self.pair).tolist()
         up_list = parent.tolist()
@@ -228,7 +262,6 @@ class Model:
                 acc0[p] /= s
                 acc1[p] /= s
         # downward: what the rest of the tree says about the parent, without this child
-        joint: list[list[float]] = [[0.0] * 4] * n
         for i in range(n):
             p = up_list[i]
             if p < 0:
@@ -237,11 +270,8 @@ class Model:
             c0, c1 = (1 - on[p]) / max(m0[i], 1e-300), on[p] / max(m1[i], 1e-300)
             t = e[k_of[i]]
             j = [c0 * t[0][0] * acc0[i], c0 * t[0][1] * acc1[i], c1 * t[1][0] * acc0[i], c1 * t[1][1] * acc1[i]]
-            s = j[0] + j[1] + j[2] + j[3]
-            j = [v / s for v in j]
-            joint[i] = j
-            on[i] = j[1] + j[3]
-        return on, joint
+            on[i] = (j[1] + j[3]) / (j[0] + j[1] + j[2] + j[3])
+        return on
 
 
 def _exp(x: float) -> float:
@@ -251,35 +281,68 @@ def _exp(x: float) -> float:
 from math import exp as _E  # noqa: E402
 
 
-def fit(pages: list[tuple[list[Node], list[int]]], rounds: int = 240, rate: float = 0.8) -> Model:
+class _Forest:
+    """The trees of all pages, by depth, for message passing in whole levels: the same as Model.marginals."""
+
+    def __init__(self, trees: list[tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]]):
+        sizes = [len(feats) for feats, _, _ in trees]
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.parent = np.concatenate([np.where(p < 0, -1, p + at) for (_, p, _), at in zip(trees, first, strict=True)])
+        self.kind = np.concatenate([k for _, _, k in trees])
+        every = [f for feats, _, _ in trees for f in feats]
+        self.index = np.repeat(np.arange(len(every)), [len(f) for f in every])
+        self.number = np.concatenate([np.array(f) for f in every])
+        depth = np.zeros(len(every), np.int64)
+        front = np.flatnonzero(self.parent >= 0)
+        at = self.parent.copy()
+        while len(front):
+            depth[front] += 1
+            at[front] = self.parent[at[front]]
+            front = front[at[front] >= 0]
+        self.levels = []
+        for d in range(1, int(depth.max(initial=0)) + 1):
+            nodes = np.flatnonzero(depth == d)
+            self.levels.append((nodes, *np.unique(self.parent[nodes], return_inverse=True)))
+
+    def marginals(self, weight: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.parent)
+        state = np.zeros((2, n))
+        state[1] = np.clip(np.bincount(self.index, weight[self.number], n), -40, 40)
+        message = np.zeros((2, n))
+        for nodes, above, inverse in reversed(self.levels):
+            k = self.kind[nodes]
+            for label in (0, 1):
+                message[label, nodes] = np.logaddexp(pair[k, label, 0] + state[0, nodes], pair[k, label, 1] + state[1, nodes])
+                state[label, above] += np.bincount(inverse, message[label, nodes])
+        belief = state - np.logaddexp(state[0], state[1])
+        joint = np.zeros((n, 2, 2))
+        for nodes, _, _ in self.levels:
+            k, p = self.kind[nodes], self.parent[nodes]
+            j = (belief[:, p] - message[:, nodes]).T[:, :, None] + pair[k] + state[:, nodes].T[:, None, :]
+            j = np.exp(j - j.max((1, 2), keepdims=True))
+            joint[nodes] = j / j.sum((1, 2), keepdims=True)
+            belief[:, nodes] = np.log(np.maximum(joint[nodes].sum(1).T, 1e-300))
+        return np.exp(belief[1]), joint
+
+
+def fit(pages: list[tuple[list[Node], list[int]]], rounds: int = 150, rate: float = 1.0) -> Model:
     """Gradient ascent (Adagrad) on the log-likelihood of labelled trees: nodes and the label of each."""
-    ready = []
-    for nodes, labels in pages:
+    trees, labels = [], []
+    for nodes, label in pages:
         own, *rest = features(nodes)
-        ready.append((*rest, np.array(labels)[own]))
+        trees.append(tuple(rest))
+        labels.append(np.array(label)[own])
+    forest, label = _Forest(trees), np.concatenate(labels)
+    child = forest.parent >= 0
     weight, pair = np.zeros(N_FEATURES), np.zeros((N_KINDS, 2, 2))
     seen_w, seen_p = np.full(N_FEATURES, 1e-6), np.full((N_KINDS, 2, 2), 1e-6)
-    observed_w, observed_p = np.zeros(N_FEATURES), np.zeros((N_KINDS, 2, 2))
-    flat = []
-    for feats, parent, kind, label in ready:
-        index = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-        number = np.concatenate([np.array(f) for f in feats])
-        flat.append((index, number))
-        observed_w += np.bincount(number, label[index], N_FEATURES)
-        child = parent >= 0
-        np.add.at(observed_p, (kind[child], label[parent[child]], label[child]), 1)
-    scale = sum(len(x[0]) for x in ready)
+    observed_w, observed_p = np.bincount(forest.number, label[forest.index], N_FEATURES), np.zeros((N_KINDS, 2, 2))
+    np.add.at(observed_p, (forest.kind[child], label[forest.parent[child]], label[child]), 1)
     for _ in range(rounds):
-        model = Model(weight, pair)
-        expected_w, expected_p = np.zeros(N_FEATURES), np.zeros((N_KINDS, 2, 2))
-        for (feats, parent, kind, _), (index, number) in zip(ready, flat, strict=True):
-            on, joint = model.marginals(feats, parent, kind)
-            expected_w += np.bincount(number, np.array(on)[index], N_FEATURES)
-            child = parent >= 0
-            j = np.array(joint).reshape(-1, 2, 2)
-            np.add.at(expected_p, kind[child], j[child])
-        gw = (observed_w - expected_w) / scale - 1e-5 * weight
-        gp = (observed_p - expected_p) / scale - 1e-5 * pair
+        on, joint = forest.marginals(weight, pair)
+        expected_p = np.stack([joint[child & (forest.kind == k)].sum(0) for k in range(N_KINDS)])
+        gw = (observed_w - np.bincount(forest.number, on[forest.index], N_FEATURES)) / len(label) - 1e-5 * weight
+        gp = (observed_p - expected_p) / len(label) - 1e-5 * pair
         seen_w += gw * gw
         seen_p += gp * gp
         weight = weight + rate * gw / np.sqrt(seen_w)
@@ -289,85 +352,90 @@ def fit(pages: list[tuple[list[Node], list[int]]], rounds: int = 240, rate: floa
 
 # --- labelled pages -------------------------------------------------------------------------------------
 
-#: Words that layouts use for what is not content, and for what is (fixed values).
-BOILER = {
-    "nav": "nav menu navbar navigation breadcrumb breadcrumbs topnav sitenav mainmenu pagination pager tabs toc",
-    "header": "header masthead banner topbar logo branding sitehead",
-    "footer": "footer bottom copyright legal sitefoot colophon imprint",
-    "aside": "sidebar aside related recommended widget rail trending popular more teaser links tags",
-    "notice": "cookie consent notice banner gdpr alert popup modal overlay toast privacy message",
-    "ad": "ad ads advert advertisement sponsor sponsored promo promotion adsense adslot partner commercial",
-    "form": "form newsletter subscribe signup search login contact register",
-    "comments": "comments comment respond discussion replies reply disqus thread commentlist feedback",
-    "share": "share social sharing follow toolbar buttons meta byline author date",
-}
-CONTENT = "article content main post story entry body text page text articlebody maincontent postcontent entrycontent richtext prose"
 SYLLABLES = "an be co da en fi gra ho in ka lo mi nu or pa que ri so ta un ve wi xo ya zu the er tion".split()
 
 
-def labelled_pages(n: int = 300, seed: int = 5) -> list[tuple[list[Node], list[int]]]:
+def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[list[Node], list[int]]]:
     """Pages in random layouts, parsed, with the label of each node: whether it holds main text.
 
     Text that belongs to the article is marked by a character that no page has, which is taken out of
-    the nodes again; an element is content if all of its text is, and it has some.
+    the nodes again; an element is content if all of its text is, or more than two thirds of its runs are.
     """
     r = random.Random(seed)
-    mark = ""
+    mark = "\ue000"
 
     def phrase(lo: int, hi: int, stop: bool) -> str:
         words = ["".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3))) for _ in range(r.randint(lo, hi))]
         return " ".join(words).capitalize() + (r.choice(".!?") if stop else "")
 
-    def kind_of(name: str) -> str:
-        word = r.choice(BOILER[name].split())
-        more = r.choice(["", "", "-box", "-wrap", " block", "-1", "_inner", " widget"])
-        attr = r.choice(["class", "class", "class", "id"])
-        return f' {attr}="{word}{more}"'
+    def named(words: str) -> str:
+        """An attribute with one of the words, and maybe neutral ones."""
+        some = [r.choice(words.split())]
+        if r.random() < 0.4:
+            some.insert(r.randint(0, 1), r.choice(NEUTRAL.split()))
+        glue = r.choice(["-", "_", " ", "__", "--"])
+        value = glue.join(some) if r.random() < 0.85 else some[0] + "".join(x.capitalize() for x in some[1:])
+        return f' {r.choice(["class", "class", "class", "id"])}="{value}{r.choice(["", "", "", "-1", " x2"])}"'
 
     def links(k: int) -> str:
         inner = "".join(f'<li><a href="/x">{phrase(1, 3, False)}</a></li>' for _ in range(k))
         return f"<ul>{inner}</ul>" if r.random() < 0.8 else " | ".join(f'<a href="/x">{phrase(1, 2, False)}</a>' for _ in range(k))
 
     def boiler(name: str) -> str:
-        tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(name, "div")
-        plain = r.random() < 0.45
-        attr = kind_of(name) if tag == "div" or plain or r.random() < 0.3 else ""
-        tag = r.choice(["div", "section"]) if plain and tag != "form" else tag
+        tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(name, r.choice(["div", "div", "section"]))
+        plain = r.random() < 0.5
+        tag = r.choice(["div", "div", "section", "ul" if name == "nav" else "div"]) if plain and tag != "form" else tag
+        attr = named(BOILER[name]) if plain or tag in ("div", "section") or r.random() < 0.3 else ""
         if name == "nav":
-            inner = links(r.randint(3, 9))
+            inner = "".join(f'<li><a href="/x">{phrase(1, 3, False)}</a></li>' for _ in range(r.randint(2, 9))) if tag == "ul" else links(r.randint(1, 9))
         elif name in ("aside", "share"):
-            inner = r.choice([f"<h3>{phrase(1, 3, False)}</h3>", ""]) + links(r.randint(2, 6)) + r.choice(["", f"<p>{phrase(5, 15, True)}</p>"])
+            inner = r.choice([f"<h3>{phrase(1, 3, False)}</h3>", ""]) + r.choice([links(r.randint(2, 6)), links(2), phrase(2, 6, False)]) + r.choice(["", f"<p>{phrase(5, 15, True)}</p>"])
         elif name == "form":
             inner = f"<label>{phrase(1, 3, False)}</label><input type=text><button>{phrase(1, 2, False)}</button>" + r.choice(["", f"<p>{phrase(4, 12, True)}</p>"])
         elif name == "comments":
-            inner = f"<h3>{phrase(1, 2, False)}</h3>" + "".join(f'<div class="{r.choice(["comment", "reply", "c-item", "comment-body"])}"><b>{phrase(1, 2, False)}</b><p>{" ".join(phrase(5, 20, True) for _ in range(r.randint(1, 3)))}</p></div>' for _ in range(r.randint(1, 5)))
+            each = r.choice(["div", "li", "article", "p"])
+            inner = r.choice([f"<h3>{phrase(1, 2, False)}</h3>", ""])
+            for _ in range(r.randint(1, 6)):
+                said = " ".join(phrase(2, 20, True) for _ in range(r.randint(1, 4)))
+                said = said if each == "p" else f"<p>{said}</p>" if r.random() < 0.7 else said
+                inner += f"<{each}{r.choice(['', named('comment reply cmt response')])}>{r.choice(['', f'<b>{phrase(1, 2, False)}</b>', f'<span class=author>{phrase(1, 2, False)}</span>'])}{said}</{each}>"
         elif name == "header":
-            inner = r.choice([f"<h1>{phrase(1, 3, False)}</h1>", f"<a href='/'>{phrase(1, 2, False)}</a>", f"<p>{phrase(2, 6, False)}</p>"]) + r.choice(["", links(3)])
+            inner = r.choice([f"<h1>{phrase(1, 3, False)}</h1>", f"<a href='/'>{phrase(1, 2, False)}</a>", f"<p>{phrase(2, 6, False)}</p>", phrase(1, 4, False)]) + r.choice(["", links(3)])
         elif name == "footer":
-            inner = f"&copy; {phrase(1, 2, False)} &middot; {phrase(3, 14, True)}" if r.random() < 0.6 else f"<p>{phrase(4, 14, True)}</p>" + links(3)
+            inner = f"&copy; {phrase(1, 2, False)} {r.choice(['&middot; ', ''])}{phrase(2, 14, r.random() < 0.6)}" if r.random() < 0.6 else f"<p>{phrase(3, 14, True)}</p>" + r.choice(["", links(3)])
         else:
-            inner = f"{phrase(4, 25, True)}" if r.random() < 0.5 else f"<p>{phrase(4, 25, True)}</p>" + r.choice(["", f"<button>{phrase(1, 2, False)}</button>", f"<a href='/p'>{phrase(1, 3, False)}</a>"])
+            inner = f"{phrase(2, 25, True)}" if r.random() < 0.5 else f"<p>{phrase(4, 25, True)}</p>" + r.choice(["", f"<button>{phrase(1, 2, False)}</button>", f"<a href='/p'>{phrase(1, 3, False)}</a>"])
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     def article() -> str:
-        parts = [f"<h1>{mark}{phrase(2, 9, r.random() < 0.4)}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 9])):
-            x = r.random()
+        title = f"<h1>{mark}{phrase(2, 9, r.random() < 0.4)}</h1>"
+        if r.random() < 0.12:
+            title = f"<header>{title}{r.choice(['', f'<p{named(BOILER["share"])}>{phrase(2, 6, False)}</p>'])}</header>"
+        parts = [title] if r.random() < 0.65 else []
+        plain = r.random() < 0.12
+        count = r.choice([1, 1, 1, 2, 2, 3, 4, 5, 6, 8, 10])
+        for k in range(count):
+            x = r.random() if k else r.random() * 0.7
             text = " ".join(phrase(3, 18, True) for _ in range(r.randint(1, 5)))
-            if x < 0.62:
+            if r.random() < 0.15:
+                text = phrase(1, 8, True)
+            if plain:
+                parts.append(r.choice([f"{mark}{text}<br>", f"{mark}{text}<br><br>", f"<div>{mark}{text}</div>"]))
+            elif x < 0.62:
                 if r.random() < 0.3:
-                    text = f"{phrase(2, 6, False)} {r.choice(['<b>', '<i>', '<em>', '<strong>', '<a href=/y>', '<span>'])}{mark}{phrase(1, 4, False)}"
-                    tag = re.search(r"<(\w+)", text)[1]
-                    text += f"</{tag}> {mark}{phrase(3, 18, True)}"
+                    tag = r.choice(["b", "i", "em", "strong", "a href=/y", "span"])
+                    text = f"{phrase(2, 6, False)} <{tag}>{mark}{phrase(1, 4, False)}</{tag.split()[0]}> {mark}{phrase(3, 18, True)}"
                 parts.append(f"<p>{mark}{text}" + r.choice(["</p>", "</p>", "", "<br>"]))
             elif x < 0.7:
                 parts.append(f"<h{r.randint(2, 4)}>{mark}{phrase(1, 6, False)}</h2>".replace("</h2>", "</h3>") if r.random() < 0.1 else f"<h2>{mark}{phrase(1, 6, False)}</h2>")
             elif x < 0.77:
-                parts.append("<ul>" + "".join(f"<li>{mark}{phrase(2, 14, r.random() < 0.6)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+                item = lambda: r.choice([f"{mark}{phrase(2, 14, r.random() < 0.6)}", f"<p>{mark}{phrase(4, 14, True)}</p>"])
+                parts.append("<ul>" + "".join(f"<li>{item()}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
             elif x < 0.82:
-                parts.append(f"<blockquote>{mark}{text}</blockquote>")
-            elif x < 0.86:
-                parts.append("<table>" + "".join("<tr>" + "".join(f"<td>{mark}{phrase(1, 3, False)}</td>" for _ in range(2)) + "</tr>" for _ in range(3)) + "</table>")
+                parts.append(f"<blockquote>{mark}{text}</blockquote>" if r.random() < 0.5 else f"<blockquote><p>{mark}{text}</p></blockquote>")
+            elif x < 0.87:
+                cell = r.choice(["td", "td", "th"])
+                parts.append("<table>" + "".join("<tr>" + "".join(f"<{cell}>{mark}{phrase(1, 3, False)}</{cell}>" for _ in range(r.randint(1, 4))) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>")
             elif x < 0.9:
                 parts.append(f"<pre>{mark}{phrase(3, 12, False)}</pre>")
             elif x < 0.93:
@@ -375,29 +443,47 @@ def labelled_pages(n: int = 300, seed: int = 5) -> list[tuple[list[Node], list[i
             elif x < 0.95:
                 parts.append(f"<p><b>{mark}{text}<br>")
             else:
-                parts.append(boiler(r.choice(["ad", "share", "aside", "form", "notice"])))
+                parts.append(boiler(r.choice(["ad", "share", "aside", "form", "notice", "nav"])))
         if r.random() < 0.1:
             parts.append(boiler("comments"))
         return "".join(parts)
 
+    def wrapped(body: str) -> str:
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2, 3])):
+            tag = r.choice(["div", "div", "div", "section", "main"])
+            body = f"<{tag}{r.choice(['', named(NEUTRAL), named(NEUTRAL), named(CONTENT)])}>{body}</{tag}>"
+        return body
+
     pages = []
     for _ in range(n):
         x = r.random()
-        word = r.choice(CONTENT.split())
-        if x < 0.5:
-            body = f"<article>{article()}</article>"
-        elif x < 0.65:
-            body = f"<main>{article()}</main>"
-        elif x < 0.9:
-            body = f'<div {r.choice(["class", "id"])}="{word}">{article()}</div>'
-        else:
+        if x < 0.34:
+            body = f"<article{r.choice(['', '', named(CONTENT)])}>{article()}</article>"
+        elif x < 0.46:
+            body = f"<main{r.choice(['', '', named(CONTENT)])}>{article()}</main>"
+        elif x < 0.78:
+            body = f"<div{named(CONTENT)}>{article()}</div>"
+        elif x < 0.83:
+            body = f"<table><tr><td{r.choice(['', named(CONTENT)])}>{article()}</td></tr></table>"
+        elif x < 0.92:
+            body = f"<div{r.choice(['', named(NEUTRAL)])}>{article()}</div>"
+        elif x < 0.96:
             body = f"<section>{article()}</section>"
-        if r.random() < 0.25:
-            body = f"<{r.choice(['main', 'div', 'div class=container', 'div id=wrapper'])}>{body}</div>"
-        before = [boiler(k) for k in ("header", "nav", "notice", "ad") if r.random() < 0.55]
-        after = [boiler(k) for k in ("comments", "aside", "share", "form", "ad", "footer") if r.random() < 0.45]
+        else:
+            body = article()
+        many = r.choice([0.25, 0.5, 0.7])
+        if r.random() < 0.15:
+            # the article and what is beside it in one box
+            body = f"<div{named(NEUTRAL + ' ' + CONTENT)}>{body}{''.join(boiler(k) for k in ('aside', 'comments', 'share') if r.random() < 0.6)}</div>"
+        body = wrapped(body)
+        before = [boiler(k) for k in ("header", "nav", "notice", "ad") if r.random() < many]
+        after = [boiler(k) for k in ("comments", "aside", "share", "form", "ad", "footer") if r.random() < many]
         r.shuffle(before)
-        page = f"<!DOCTYPE html><html><head><title>{phrase(2, 6, False)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
+        if r.random() < 0.2:
+            before, after = before + after[:1], after[1:]
+        page = wrapped(f"{''.join(before)}{body}{''.join(after)}")
+        if r.random() < 0.75:
+            page = f"<!DOCTYPE html><html><head><title>{phrase(2, 6, False)}</title></head><body{r.choice(['', '', named(CONTENT + ' ' + NEUTRAL)])}>{page}</body></html>"
         nodes = parse(page)
         label = [0] * len(nodes)
         good, bad = [0] * len(nodes), [0] * len(nodes)
@@ -406,17 +492,11 @@ def labelled_pages(n: int = 300, seed: int = 5) -> list[tuple[list[Node], list[i
             if node.text is not None:
                 if node.text.strip():
                     good[i], bad[i] = (1, 0) if mark in node.text else (0, 1)
-                else:
-                    good[i] = label[i] = 0
                 node.text = node.text.replace(mark, "")
-            label[i] = int(good[i] > 0 and bad[i] == 0)
+            label[i] = int(good[i] > 2 * bad[i])
             if i:
                 good[node.parent] += good[i]
                 bad[node.parent] += bad[i]
-        # an element around the article is content if most of its text is
-        for i, node in enumerate(nodes):
-            if node.text is None and good[i] > 2 * bad[i]:
-                label[i] = 1
         pages.append((nodes, label))
     return pages
 
@@ -429,7 +509,7 @@ def main_text(page: str, model: Model) -> str:
     nodes = parse(page)
     own, feats, parent, kind = features(nodes)
     on = [0.0] * len(nodes)
-    for i, p in zip(own, model.marginals(feats, parent, kind)[0], strict=True):
+    for i, p in zip(own, model.marginals(feats, parent, kind), strict=True):
         on[i] = p
     hidden = [False] * len(nodes)
     block = [0] * len(nodes)

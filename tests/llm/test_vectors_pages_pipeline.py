@@ -1,8 +1,10 @@
 """Vectors and pages against brute force; the pipeline against its stages done by hand."""
 
 import re
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -70,7 +72,7 @@ def test_model_on_held_out_layouts():
     right = total = 0
     for nodes, label in h.labelled_pages(60, seed=99):
         own, feats, parent, kind = h.features(nodes)
-        on, _ = model.marginals(feats, parent, kind)
+        on = model.marginals(feats, parent, kind)
         for i, p in zip(own, on, strict=True):
             if nodes[i].text is not None:
                 right += (p >= 0.5) == label[i]
@@ -89,7 +91,10 @@ def test_marginals_are_those_of_enumeration():
         s = np.exp(sum(model.weight[i] * y[i] for i in range(5)) + sum(model.pair[kind[i], y[parent[i]], y[i]] for i in range(1, 5)))
         total += s
         on += s * np.array(y)
-    assert np.allclose(model.marginals(feats, parent, kind)[0], on / total)
+    assert np.allclose(model.marginals(feats, parent, kind), on / total)
+    # the same by levels, of several trees at once
+    forest = h._Forest([(feats, parent, kind), (feats[:3], parent[:3], kind[:3])])
+    assert np.allclose(forest.marginals(model.weight, model.pair)[0], [*(on / total), *model.marginals(feats[:3], parent[:3], kind[:3])])
 
 
 def test_main_text_of_broken_and_odd_pages(spark):
@@ -105,6 +110,54 @@ def test_main_text_of_broken_and_odd_pages(spark):
     assert h.extract_main_text(df.limit(0)).count() == 0
 
 
+#: Pages written by hand, in layouts that differ from those of labelled_pages, and their main text.
+P1, P2, P3 = "The river rose by two metres overnight, the council said.", "Volunteers filled sandbags until dawn. Nobody was hurt.", "Schools stay closed on Monday."
+BODY = f"<p>{P1}</p><p>{P2}</p><p>{P3}</p>"
+TEXT = f"{P1}\n{P2}\n{P3}"
+NAV = '<nav><a href="/">Home</a> <a href="/news">News</a> <a href="/sport">Sport</a></nav>'
+FOOT = "<footer><p>Copyright 2024 Example Press. All rights reserved.</p></footer>"
+SAID = '<div class="comments"><h3>2 comments</h3><div class="comment"><b>Ann</b><p>I saw it from my window, it was frightening.</p></div><div class="comment"><b>Bo</b><p>Glad all are safe.</p></div></div>'
+LAYOUTS = [
+    (f"{NAV}<article><p>Hello there. This is text.</p></article>", "Hello there. This is text."),
+    (f"<div class='post'><p>{P1}</p><p>{P2}</p></div>{SAID}", f"{P1}\n{P2}"),
+    (f"<div class='post'><p>Short one.</p><p>And two.</p></div>{SAID}", "Short one.\nAnd two."),
+    (f"<html><body>{NAV}<div id='content'><h1>Flood</h1>{BODY}</div>{FOOT}</body></html>", f"Flood\n{TEXT}"),
+    (f"<html><body><div class='container'><div class='header'><a href='/'>Example Press</a></div><div class='entry-content'>{BODY}</div><div class='sidebar'><h3>Related</h3><ul><li><a href='/a'>Storm warning</a></li><li><a href='/b'>Road works</a></li></ul></div></div>{FOOT}</body></html>", TEXT),
+    (f"<html><body><main><h1>Flood</h1>{BODY}</main><aside><p>Subscribe to our paper today.</p></aside></body></html>", f"Flood\n{TEXT}"),
+    (f"<body><table><tr><td class='menu'><a href='/1'>One</a><br><a href='/2'>Two</a></td><td class='story'>{BODY}</td></tr></table></body>", TEXT),
+    (f"<html><body><div class='cookie-banner'>We use cookies to improve this site. <button>Accept</button></div>{NAV}<article><h1>Flood</h1>{BODY}</article></body></html>", f"Flood\n{TEXT}"),
+    (f"<html><body>{NAV}<article><h1>Flood</h1><p>{P1}</p><div class='ad'>Buy one, get one free at Shop.</div><p>{P2}</p></article></body></html>", f"Flood\n{P1}\n{P2}"),
+    (f"<html><body><article><h2>Steps</h2><ul><li>Fill the bags.</li><li>Stack them by the door.</li></ul><p>{P3}</p></article>{SAID}</body></html>", f"Steps\nFill the bags.\nStack them by the door.\n{P3}"),
+    (f"<html><body><div id='main'><div class='blog-post'><h1>Flood</h1>{BODY}</div><div id='respond'><form><label>Your name</label><input><p>Leave a reply below.</p></form></div></div></body></html>", f"Flood\n{TEXT}"),
+    (f"<html><body><article>{BODY}<section class='comments'><p>I saw it too.</p><p>So did I, from the bridge.</p></section></article></body></html>", TEXT),
+    (f"<html><body><div class='article-body'>{P1}<br><br>{P2}</div>{FOOT}</body></html>", f"{P1} {P2}"),
+    (f"<html><body><header><h1>Example Press</h1>{NAV}</header><section class='news-story'><h2>Flood</h2>{BODY}</section>{FOOT}</body></html>", f"Flood\n{TEXT}"),
+    (f"<html><body><div class='page'><div class='siteHeader'>Example Press</div><div class='articleBody'>{BODY}</div><div class='siteFooter'>Imprint and contact</div></div></body></html>", TEXT),
+    (f"<html><body><article><h1>Flood</h1><blockquote><p>{P2}</p></blockquote><p>{P1}</p><table><tr><th>Town</th><th>Level</th></tr><tr><td>Upton</td><td>2.1 m</td></tr></table></article></body></html>", f"Flood\n{P2}\n{P1}\nTown\nLevel\nUpton\n2.1 m"),
+    (f"<html><body>{NAV}<div class='post hentry'><h1>Flood</h1><div class='social-share'><a href='/f'>Share</a> <a href='/t'>Post</a></div>{BODY}</div>{SAID}{FOOT}</body></html>", f"Flood\n{TEXT}"),
+    (f"<html><body><div id='wrapper'><ul class='breadcrumb'><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul><div id='story'><p>{P1} <a href='/map'>See the map</a> of the river.</p><p>{P2}</p></div></div></body></html>", f"{P1} See the map of the river.\n{P2}"),
+    (f"<html><body><article><p>{P1}</p></article><div class='newsletter'><p>Sign up for our letter and get the news each morning.</p></div></body></html>", P1),
+    (f"<html><body class='single'><main id='main' class='site-main'><article class='post'><header class='entry-header'><h1>Flood</h1></header><div class='entry-content'>{BODY}</div></article></main><div class='widget-area'><h2>Archive</h2><ul><li><a href='/5'>May</a></li></ul></div></body></html>", f"Flood\n{TEXT}"),
+    (f"<html><body>{NAV}<div class='text'><p>{P3}</p></div><div class='related-posts'><h3>More</h3><p><a href='/x'>Dams in numbers</a></p></div></body></html>", P3),
+    (f"<html><body><div><div><div class='col-8'><article>{BODY}</article></div><div class='col-4'><div class='promo'><p>Best boots of the year. Order now!</p></div></div></div></div></body></html>", TEXT),
+    (f"<p>{P1}<p>{P2}", f"{P1}\n{P2}"),
+    (f"<html><body><div class='richtext'><h2>Why</h2><p>{P1}</p><pre>level = 2.1</pre><p>{P2}</p></div><div class='commentlist'><li>First!</li><li>What a night.</li></div></body></html>", f"Why\n{P1}\nlevel = 2.1\n{P2}"),
+]
+
+
+@pytest.mark.parametrize("k", range(len(LAYOUTS)))
+def test_main_text_of_pages_written_by_hand(k):
+    page, want = LAYOUTS[k]
+    assert h.main_text(page, h.default_model()) == want
+
+
+def test_fit_takes_seconds():
+    pages = h.labelled_pages()
+    began = time.process_time()
+    h.fit(pages)
+    assert time.process_time() - began < 15
+
+
 def test_all_words_of_a_class_are_read():
     utilities = " ".join(f"{a}{b}" for a in "abcd" for b in "wxyz")
     node = next(n for n in h.parse(f"<div class='{utilities} sidebar'>text</div>") if n.tag == "div")
