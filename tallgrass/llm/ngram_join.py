@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import Written, bounded_batches, checkpoint, sized
+from .session import BROADCAST_ROWS, Written, bounded_batches, checkpoint, dealt
 from .textblock import LOWER, NOT_SPACE, U, blocks, distinct, mix, prefix_hash, shingles, span_hash, words
 
 #: The sketch has 2**SKETCH_BITS counters (4 bytes each: 4 MB), sent about in CHUNKS parts.
@@ -38,6 +38,8 @@ SKETCH_BITS, CHUNKS = 20, 64
 MAX_MATCHES = 4
 #: Cost of comparing two sets, in prefix entries read.
 COMPARE_COST = 20.0
+#: Rows of one class, pairs of one class and entries of one token that meet in a task; what is more is dealt into parts.
+PART = 512
 
 
 def sets_of(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -152,9 +154,13 @@ def _postings(docs: DataFrame, text_col: str, n: int, percent: int, counts: np.n
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b: structs s, n) whose sets are similar enough, by comparing whole sets."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+    """Those of pairs (a, b: structs s, n; checkpointed) whose sets are similar enough, by comparing whole sets. sets has a row a class."""
+    # a class of very many pairs, as is the pivot of a large group, is dealt into parts on either side
+    salted, copied_a = dealt(pairs, ["a"], PART, F.xxhash64("b"))
+    salted, copied_b = dealt(salted.withColumnRenamed("salt", "sa"), ["b"], PART, F.xxhash64("a"))
+    left = copied_a(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))).withColumnRenamed("salt", "sa")
+    right = copied_b(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")))
+    both = salted.join(left, ["a", "sa"]).join(right, ["b", "salt"]).select("a", "b", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +200,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fingerprints(h, per_row)), pa.array(np.diff(per_row).astype(np.int32))], names=["id", "s", "n"])
 
     rows = checkpoint(docs.mapInArrow(describe, f"id {kind}, s long, n int"))
-    classes = rows.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("least"))
+    classes = rows.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("least"), F.count("*").alias("count"))
 
     entries = Written(_postings(docs, "text", n, percent, _sketch(docs, "text", n)))
     # entries that stand alone meet no other; the rest is small
@@ -221,14 +227,22 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         """The sets of the classes in pairs, from one text of each."""
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         asked = checkpoint(asked.join(classes.select(F.struct("s", "n").alias("node"), "least"), "node").select("least").distinct())
-        texts = docs.join(sized(asked, asked.count()), docs["id"].eqNullSafe(asked["least"]), "left_semi")
+        if asked.count() <= BROADCAST_ROWS:
+            texts = docs.join(F.broadcast(asked), docs["id"].eqNullSafe(asked["least"]), "left_semi")
+        else:  # rows of one id are dealt into parts by their place in the table, which a lost task finds again
+            salted, copied = dealt(docs, ["id"], PART, F.monotonically_increasing_id())
+            asked = copied(asked.withColumnRenamed("least", "id"))
+            texts = salted.join(asked, salted["id"].eqNullSafe(asked["id"]) & (salted["salt"] == asked["salt"]), "left_semi")
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, _, h, per_row in sets_of(batch.column(0), n):
-                    yield pa.RecordBatch.from_arrays([pa.array(fingerprints(h, per_row)), pa.array(np.diff(per_row).astype(np.int32)), pa.array([h[s:e].tobytes() for s, e in zip(per_row[:-1], per_row[1:], strict=True)], pa.binary())], names=["s", "n", "hashes"])
+                    print_ = fingerprints(h, per_row)
+                    once = np.sort(np.unique(print_, return_index=True)[1])  # copies in one block
+                    yield pa.RecordBatch.from_arrays([pa.array(print_[once]), pa.array(np.diff(per_row)[once].astype(np.int32)), pa.array([h[s:e].tobytes() for s, e in zip(per_row[once], per_row[once + 1], strict=True)], pa.binary())], names=["s", "n", "hashes"])
 
-        return texts.select("text").mapInArrow(emit, "s long, n int, hashes binary").select(F.struct("s", "n").alias("node"), "hashes")
+        # rows of one id and copies of one text give a class's set more than once
+        return texts.select("text").mapInArrow(emit, "s long, n int, hashes binary").groupBy(F.struct("s", "n").alias("node")).agg(F.first("hashes").alias("hashes"))
 
     first = checkpoint(_verified(near, sets(near), percent))
     edge = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -236,14 +250,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     # the full join, between classes of different labels
     marked = shared.select("token", "node", "l", "p").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
-    marked = checkpoint(marked.join(mixed, "token"))
-    left = marked.select("token", F.col("node").alias("a"), F.col("l").alias("la"), F.col("p").alias("pa"), F.col("component").alias("ca"))
-    right = marked.select("token", F.col("node").alias("b"), F.col("l").alias("lb"), F.col("p").alias("pb"), F.col("component").alias("cb"))
+    mixed = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("low != high").select("token", "parts")
+    marked = checkpoint(marked.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")))
+    # a long list is dealt into parts, and any two parts (or one) are joined by themselves
+    block = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    left = block.select("token", "low", "high", F.col("own").alias("oa"), F.col("node").alias("a"), F.col("l").alias("la"), F.col("p").alias("pa"), F.col("component").alias("ca"))
+    right = block.select("token", "low", "high", F.col("own").alias("ob"), F.col("node").alias("b"), F.col("l").alias("lb"), F.col("p").alias("pb"), F.col("component").alias("cb"))
     # what sets of these sizes must share, and so how far into both prefixes shared entries count
     overlap = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
     reach = (F.col("pa") < F.col("a.n") - overlap + F.least("la", "lb")) & (F.col("pb") < F.col("b.n") - overlap + F.least("la", "lb"))
-    met = left.join(right, (left["token"] == right["token"]) & (left["ca"] != right["cb"]) & fits & reach & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.s") > F.col("b.s")))))
+    same = (left["token"] == right["token"]) & (left["low"] == right["low"]) & (left["high"] == right["high"]) & ((left["low"] == left["high"]) | (F.col("oa") != F.col("ob")))
+    met = left.join(right, same & (F.col("ca") != F.col("cb")) & fits & reach & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.s") > F.col("b.s")))))
     # sketch order, sizes and l are functions of the class, so counting tokens counts shared prefix entries
     rest = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").select("a", "b")
     rest = checkpoint(rest.join(near, ["a", "b"], "left_anti"))
@@ -255,5 +272,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
     named = member.join(ids, "component").select(F.col("node.s").alias("s"), F.col("node.n").alias("n"), "component_id")
     alone = classes.join(named, ["s", "n"], "left").select("s", "n", F.coalesce("component_id", "least").alias("component_id"))
+    # copies of one text can be a large part of all rows: they are dealt into parts by their place among the checkpointed rows
+    salted, copied = dealt(rows.where("n > 0"), ["s", "n"], PART, F.monotonically_increasing_id(), classes)
     single = rows.where("n = 0").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
-    return rows.where("n > 0").join(alone, ["s", "n"]).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id").union(single)
+    return salted.join(copied(alone), ["s", "n", "salt"]).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id").union(single)

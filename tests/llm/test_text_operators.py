@@ -80,6 +80,34 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_jaccard_components(odd(spark).limit(0)).count() == 0
 
 
+def test_repeated_rows_and_large_groups_do_not_multiply(spark):
+    x = [f"x{i}" for i in range(60)]
+    # two near copies of 3,000 rows each, under two ids and without one, and 1,200 near copies of one another
+    rows = [(r, " ".join(x)) for r in (7, 7, 7, None) for _ in range(750)] + [(r, " ".join(x[:-1] + ["y"])) for r in (3, 7, 9, None) for _ in range(750)]
+    z = [f"z{i}" for i in range(60)]
+    rows += [(100 + k, " ".join(z[:59] + [f"end{k}"])) for k in range(1200)] + [(None, "alone"), (None, "alone"), (5000, "x0 x1 x2 x3 x4")]
+    got = ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).groupBy("doc_id", "n_shingles", "component_id").count()
+    want = {(7, 57, 3): 3000, (3, 57, 3): 750, (9, 57, 3): 750, (None, 57, 3): 1500, (None, 1, None): 2, (5000, 2, 5000): 1} | {(100 + k, 57, 100): 1 for k in range(1200)}
+    assert {tuple(r)[:3]: r[3] for r in got.collect()} == want
+
+
+def test_dealing_out_is_a_plain_join(spark, monkeypatch):
+    monkeypatch.setattr("tallgrass.llm.ngram_join.PART", 2)
+    monkeypatch.setattr("tallgrass.llm.ngram_join.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("tallgrass.llm.components.SMALL", 0)
+    monkeypatch.setattr("tallgrass.llm.components.PART", 2)
+    r = random.Random(5)
+    base = [[f"w{r.randint(0, 30)}" for _ in range(40)] for _ in range(8)]
+    rows = []
+    for i in range(160):
+        w = list(r.choice(base))
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            w[r.randrange(len(w))] = f"x{r.randint(0, 4)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == jaccard_brute(rows, 4, 85)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1), (7, 7), (1, 5), (None, 2)], "u long, v long")
     assert sorted(map(tuple, connected_components(edges).collect())) == [(1, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)]
