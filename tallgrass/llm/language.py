@@ -27,6 +27,8 @@ MAX_LANGUAGES = 512
 #: Added to each count.
 SMOOTHING = 0.5
 WIDTH = 8192
+#: Languages whose counts a task holds (of 512 KB each) before it sends them on; a block may add its own.
+HELD = 64
 
 
 @cache
@@ -81,12 +83,22 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                 names, number = np.unique(lang[i:j].astype(str), return_inverse=True)
                 of = np.repeat(number, np.diff(ends))
                 row = np.repeat(np.arange(j - i), np.diff(ends))
-                found = np.zeros(len(names) * BUCKETS, np.int64)
+                keys = []
                 for bucket, n in grams(points, ends):
                     same = row[: len(bucket)] == row[n - 1 :] if n > 1 else slice(None)
-                    found += np.bincount((of[: len(bucket)] * BUCKETS + bucket)[same], minlength=len(found))
+                    keys.append((of[: len(bucket)] * BUCKETS + bucket)[same])
+                key, times = np.unique(np.concatenate(keys), return_counts=True)
+                edge = np.searchsorted(key, np.arange(len(names) + 1) * BUCKETS)
                 for k, name in enumerate(names.tolist()):
-                    tables[name] = tables.get(name, 0) + found[k * BUCKETS : (k + 1) * BUCKETS]
+                    if name not in tables:
+                        tables[name] = np.zeros(BUCKETS, np.int64)
+                    tables[name][key[edge[k] : edge[k + 1]] - k * BUCKETS] += times[edge[k] : edge[k + 1]]
+                if len(tables) > HELD:
+                    yield from sent(tables)
+                    tables = {}
+        yield from sent(tables)
+
+    def sent(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, table in tables.items():
             yield _batch(name, range(BUCKETS // WIDTH), [table[c * WIDTH : (c + 1) * WIDTH] for c in range(BUCKETS // WIDTH)])
 

@@ -1,12 +1,11 @@
 """Toxicity by a factorisation machine over hashed terms.
 
-Terms are words and their 4- and 5-byte pieces, lower-cased and hashed to BUCKETS. Over all
-labelled rows that may be learnt from, the executors count in how many texts of either label a
-bucket occurs; the MAX_TERMS buckets of the largest chi-square (at least MIN_CHI2) are the
-machine's terms. The machine gives a text sum(w_i) + sum over pairs <v_i, v_j> over its terms, so two
-terms together (an insult and a mention of a group) can weigh more, or less, than each alone.
-It is fitted on the driver on at most MAX_SAMPLE labelled rows, chosen by a hash of the id; what is fitted is a few
-thousand terms and is broadcast. Scoring reads whole texts.
+Terms are the lower-cased words of a text and their first 4 and 5 bytes (endings change, stems stay), hashed to BUCKETS. The machine gives a text
+sum(w_i) + sum over pairs <v_i, v_j> over its distinct terms, so two terms together (an insult and a mention of a group)
+can weigh more, or less, than each alone. No term is chosen by its label: every bucket that stands in at least
+MIN_SHARE of the sampled rows has a weight and factors, as a term may only tell beside another.
+It is fitted on the driver on at most MAX_SAMPLE labelled rows, chosen by a hash of the id, one text a row; the model is of a
+fixed size (BUCKETS by 1 + FACTORS floats at most) and is broadcast. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -19,58 +18,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches, sized
-from .textblock import ALNUM, LOWER, U, blocks, mix, prefix_hash, span_hash, words
+from .session import bounded_batches, checkpoint
+from .textblock import ALNUM, LOWER, U, blocks, prefix_hash, span_hash, words
 
 BITS = 18
 BUCKETS = 1 << BITS
-#: Most terms of the machine, and the least chi-square of one.
-MAX_TERMS, MIN_CHI2 = 4096, 12.0
+#: Share of the sampled rows in which a term must stand (and 3 rows at least): of one seen in fewer little can be told.
+MIN_SHARE = 0.001
 #: Most labelled rows that the machine is fitted on.
 MAX_SAMPLE = 20_000
-#: Size of the pairwise factors; passes over the sample.
-FACTORS, EPOCHS = 8, 40
-#: Buckets of the counts sent in one row.
-WIDTH = 4096
-
-
-def terms(part: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and the rows they occur in, with repeats: first of words, then of their pieces."""
-    low = LOWER[part]
-    start, end, per_row = words(low, offsets, ALNUM)
-    if not len(start):
-        return
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(per_row))
-    yield (span_hash(prefix_hash(low), start, end) >> U(64 - BITS)).astype(np.int32), row
-    # how many bytes of the word are left at each byte
-    left = np.zeros(len(low), np.int64)
-    size = end - start
-    inside = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-    left[inside] = np.repeat(end, size) - inside
-    four = np.zeros(len(low), np.uint64)
-    n = len(low)
-    wide = low.astype(np.uint64)
-    if n >= 4:
-        four[: n - 3] = wide[: n - 3] << U(24) | wide[1 : n - 2] << U(16) | wide[2 : n - 1] << U(8) | wide[3:]
-    of = np.searchsorted(offsets, inside, "right") - 1
-    for k in (4, 5):
-        at = left[inside] >= k
-        where = inside[at]
-        h = four[where] if k == 4 else four[where] << U(8) | wide[where + 4]
-        yield (mix(h + U(k << 56)) >> U(64 - BITS)).astype(np.int32), of[at]
+#: Size of the pairwise factors; passes over the sample at most, and steps before which the fit doesn't stop.
+FACTORS, EPOCHS, LEAST_STEPS = 4, 60, 600
+#: Passes without a better loss on the rows left out, after which it stops.
+PATIENCE = 3
 
 
 def term_sets(column: pa.Array, number: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First and last row; the numbers (number[bucket] >= 0) of the distinct terms of these rows, and their rows."""
-    top = int(number.max(initial=-1)) + 1
+    """First and last row; the numbers (number[bucket] >= 0) of the distinct terms of these rows, and their rows, ascending."""
+    top = max(int(number.max(initial=-1)) + 1, 1)
     for i, j, part, offsets in blocks(column):
+        low = LOWER[part]
+        start, end, per_row = words(low, offsets, ALNUM)
+        sums, rows = prefix_hash(low), np.repeat(np.arange(j - i), np.diff(per_row))
         keys = []
-        for bucket, row in terms(part, offsets):
-            n = number[bucket]
+        for size in (0, 4, 5):
+            some = end - start > size
+            stop = start[some] + size if size else end
+            n = number[(span_hash(sums, start[some], stop) >> U(64 - BITS)).astype(np.int64)]
             on = n >= 0
-            keys.append(row[on].astype(np.int64) * max(top, 1) + n[on])
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        yield i, j, key % max(top, 1), key // max(top, 1)
+            keys.append(rows[some][on] * top + n[on])
+        key = np.unique(np.concatenate(keys))
+        yield i, j, key % top, key // top
 
 
 @dataclass
@@ -93,119 +71,105 @@ class Machine:
         return out
 
 
+class _Rows:
+    """Rows of terms (row ascending), of which any can be taken out."""
+
+    def __init__(self, term: np.ndarray, row: np.ndarray, label: np.ndarray):
+        self.term, self.label = term, label
+        self.start = np.searchsorted(row, np.arange(len(label) + 1))
+
+    def take(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = self.start[chosen + 1] - self.start[chosen]
+        r = np.repeat(np.arange(len(chosen)), count)
+        return self.term[np.repeat(self.start[chosen] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(r))], r
+
+
 def fit(term: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss with an L2 penalty, by Adam over batches; rows ascending. Bias, weights, factors."""
+    """Logistic loss with an L2 penalty, by Adam over batches; rows ascending. Bias, weights, factors.
+
+    A tenth of the rows is left out, and the parameters of the least loss on it are taken.
+    """
     rng = np.random.default_rng(seed)
     n = len(label)
     p = (label.sum() + 0.5) / (n + 1)
-    params = [np.array([np.log(p / (1 - p))]), np.zeros(n_terms), rng.normal(0, 0.01, (n_terms, FACTORS))]
+    # factors by factor, so that each is read in one stretch
+    params = [np.array([np.log(p / (1 - p))]), np.zeros(n_terms), rng.normal(0, 0.3 / np.sqrt(1 + len(term) / n), (FACTORS, n_terms))]
     first = [np.zeros_like(x) for x in params]
     second = [np.zeros_like(x) for x in params]
-    start = np.searchsorted(row, np.arange(n + 1))
+    rows = _Rows(term, row, label)
+    order = rng.permutation(n)
+    aside, train = order[: n // 10], order[n // 10 :]
     size = max(32, min(512, n // 16))
-    step = 0
+    step, best, since = 0, (np.inf, [x.copy() for x in params]), 0
+
+    def forward(chosen: np.ndarray) -> tuple:
+        t, r = rows.take(chosen)
+        bias, weight, factor = params
+        total = np.stack([np.bincount(r, v[t], len(chosen)) for v in factor])
+        z = bias[0] + 0.5 * (total**2).sum(0) + np.bincount(r, (weight - 0.5 * (factor**2).sum(0))[t], len(chosen))
+        return t, r, total, np.clip(z, -30, 30)
+
     for epoch in range(EPOCHS if n_terms else 0):
-        order = rng.permutation(n)
-        rate = 0.05 * (1 - epoch / EPOCHS) + 0.002
-        for lo in range(0, n, size):
-            chosen = order[lo : lo + size]
-            count = start[chosen + 1] - start[chosen]
-            r = np.repeat(np.arange(len(chosen)), count)
-            at = np.repeat(start[chosen] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(r))
-            t = term[at]
-            v = params[2][t]
-            total = np.stack([np.bincount(r, v[:, f], len(chosen)) for f in range(FACTORS)], axis=1)
-            square = np.bincount(r, (v * v).sum(1), len(chosen))
-            z = params[0][0] + np.bincount(r, params[1][t], len(chosen)) + 0.5 * ((total**2).sum(1) - square)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[chosen]) / len(chosen)
-            push = g[r, None] * (total[r] - v)
-            gv = np.stack([np.bincount(t, push[:, f], n_terms) for f in range(FACTORS)], axis=1)
-            grads = [np.array([g.sum()]), np.bincount(t, g[r], n_terms) + 1e-5 * params[1], gv + 1e-4 * params[2]]
+        rng.shuffle(train)
+        rate = 0.02 * (1 - epoch / EPOCHS) + 0.002
+        for lo in range(0, len(train), size):
+            chosen = train[lo : lo + size]
+            t, r, total, z = forward(chosen)
+            g = (1 / (1 + np.exp(-z)) - label[chosen]) / len(chosen)
+            gw = np.bincount(t, g[r], n_terms)
+            gv = np.stack([np.bincount(t, x[r], n_terms) for x in total * g]) - params[2] * gw
+            grads = [np.array([g.sum()]), gw + 1e-5 * params[1], gv + 1e-5 * params[2]]
             step += 1
             for x, grad, m, s in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (grad - m)
-                s += 0.001 * (grad * grad - s)
-                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return float(params[0][0]), params[1], params[2]
-
-
-def _label_counts(rows: DataFrame) -> np.ndarray:
-    """In how many texts of label 0 and of label 1 each bucket occurs, over all rows (text, label)."""
-    every = np.arange(BUCKETS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j, term, row in term_sets(batch.column(0), every):
-                y = label[i:j][row]
-                for k in (0, 1):
-                    table[k] += np.bincount(term[y == k], minlength=BUCKETS)
-        yield from _rows(table)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for y, chunk, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                sums[y, chunk] = sums.get((y, chunk), 0) + np.frombuffer(part, np.int64)
-        for (y, chunk), x in sums.items():
-            yield pa.RecordBatch.from_pydict({"y": pa.array([y], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "part": pa.array([x.tobytes()], pa.binary())})
-
-    def _rows(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys = [(y, c) for y in (0, 1) for c in range(BUCKETS // WIDTH) if table[y, c * WIDTH : (c + 1) * WIDTH].any()]
-        yield pa.RecordBatch.from_pydict({"y": pa.array([y for y, _ in keys], pa.int32()), "chunk": pa.array([c for _, c in keys], pa.int32()), "part": pa.array([table[y, c * WIDTH : (c + 1) * WIDTH].tobytes() for y, c in keys], pa.binary())})
-
-    kind = "y int, chunk int, part binary"
-    table = np.zeros((2, BUCKETS), np.int64)
-    some = rows.select("text", "label").mapInArrow(count, kind).repartition("y", "chunk").mapInArrow(add, kind)
-    for row in some.toLocalIterator():
-        table[row.y, row.chunk * WIDTH : (row.chunk + 1) * WIDTH] += np.frombuffer(row.part, np.int64)
-    return table
+                s += 0.01 * (grad * grad - s)
+                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+        z, y = (forward(aside)[-1], label[aside]) if len(aside) else (np.zeros(0), np.zeros(0))
+        loss = float(np.logaddexp(0, np.where(y > 0, -z, z)).mean()) if len(aside) else -epoch
+        if loss < best[0]:
+            best, since = (loss, [x.copy() for x in params]), 0
+        else:
+            since += 1
+        if since >= PATIENCE and step >= LEAST_STEPS:
+            break
+    bias, weight, factor = best[1]
+    return float(bias[0]), weight, np.ascontiguousarray(factor.T)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learnable: Column, max_sample: int = MAX_SAMPLE) -> Machine:
     """The machine, from the rows of labels for whose id `learnable` (over column id_col) holds.
 
-    Labels that are null or neither 0 nor 1 teach nothing; of an id's several labels each counts. Without
-    labelled rows of both kinds the machine has no terms, and scores all texts alike.
+    Labels that are null or neither 0 nor 1 teach nothing; of an id's several labels each counts once, and of its several
+    texts the least. Without labelled rows of both kinds the machine has no terms, and scores all texts alike.
     """
     bounded_batches(docs.sparkSession)
-    known = labels.where(learnable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    n = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    known = labels.where(learnable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
+    some = checkpoint(known.orderBy(F.xxhash64("id"), "id", "label").limit(max_sample))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    number = np.full(BUCKETS, -1, np.int32)
-    if len(n) < 2:
-        p = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
-        return Machine(number, float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, FACTORS)))
-    rows = texts.join(sized(known, sum(n.values())), "id")
-    count = _label_counts(rows).astype(float)
-    n0, n1 = float(n[0]), float(n[1])
-    seen = count.sum(0)
-    total = n0 + n1
-    expected = seen * n1 / total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = (count[1] - expected) ** 2 * total * total / (n0 * n1 * seen * (1 - seen / total))
-    chi2[~np.isfinite(chi2)] = 0
-    chi2[seen < 3] = 0
-    best = np.argsort(-chi2, kind="stable")[:MAX_TERMS]
-    best = best[chi2[best] >= MIN_CHI2]
-    number[best] = np.arange(len(best))
-    shared = docs.sparkSession.sparkContext.broadcast(number)
-    some = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_sample)
+    # one row of each sampled label, whatever rows the id has
+    rows = texts.join(F.broadcast(some), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    every = np.arange(BUCKETS)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, term, row in term_sets(batch.column(0), shared.value):
+            for i, j, term, row in term_sets(batch.column(0), every):
                 ends = np.searchsorted(row, np.arange(j - i + 1))
                 found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(term.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([found, batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i)], names=["terms", "label", "id"])
 
-    sample = texts.join(F.broadcast(some), "id").select("text", "label", F.xxhash64("id").alias("id")).mapInArrow(pick, "terms array<int>, label int, id long").toArrow()
+    sample = rows.select("text", "label", F.xxhash64("id").alias("id")).mapInArrow(pick, "terms array<int>, label int, id long").toArrow()
     sample = sample.sort_by([("id", "ascending"), ("label", "ascending")])
-    lists = sample["terms"].combine_chunks()
-    term, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
     label = sample["label"].to_numpy().astype(float)
-    return Machine(number, *fit(term.astype(np.int64), np.repeat(np.arange(len(size)), size), label, len(best)))
+    number = np.full(BUCKETS, -1, np.int32)
+    if len(np.unique(label)) < 2:
+        p = (label.sum() + 0.5) / (len(label) + 1)
+        return Machine(number, float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, FACTORS)))
+    lists = sample["terms"].combine_chunks()
+    term, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
+    kept = np.flatnonzero(np.bincount(term, minlength=BUCKETS) >= max(3, MIN_SHARE * len(label)))
+    number[kept] = np.arange(len(kept))
+    on = number[term] >= 0
+    return Machine(number, *fit(number[term[on]].astype(np.int64), row[on], label, len(kept)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:

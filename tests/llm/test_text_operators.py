@@ -7,10 +7,11 @@ import re
 import time
 from bisect import bisect_left
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallgrass.llm import chat, license, mixing, pii
+from tallgrass.llm import chat, language, license, mixing, pii, toxicity
 from tallgrass.llm.components import connected_components
 from tallgrass.llm.decontaminate import find_contamination, remove_contamination
 from tallgrass.llm.language import predict_language
@@ -330,8 +331,9 @@ def test_mixing_odd_rows(spark):
 # --- toxicity and language ---
 
 
-def test_toxicity_learns_pairs(spark):
-    """insult + group is toxic, either alone is not: no additive weight can tell."""
+@pytest.mark.parametrize("toxic", [lambda a, b: a and b, lambda a, b: a != b], ids=["and", "xor"])
+def test_toxicity_learns_pairs(spark, toxic):
+    """Insult and group together, or one without the other: no additive weight can tell the second at all."""
     r = random.Random(1)
     rows, labels = [], []
     for i in range(1200):
@@ -339,13 +341,43 @@ def test_toxicity_learns_pairs(spark):
         words = [r.choice(["tree", "river", "stone", "cloud", "grass"]) + str(r.randint(0, 30)) for _ in range(15)] + ["rotter"] * a + ["islanders"] * b
         r.shuffle(words)
         rows.append((i, " ".join(words)))
-        labels.append((i, int(a and b)))
+        labels.append((i, int(toxic(a, b))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     scored = score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 4 != 2).toPandas().set_index("doc_id").score
     held = [i for i in range(1200) if i % 4 == 2]
     assert sum((scored[i] >= 0.3) == bool(labels[i][1]) for i in held) >= 0.97 * len(held)
 
 
+def test_toxicity_scores_are_brute_force(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["rotter", "fine", "Weather", "islanders", "straße", "sun", "a"]) + r.choice(["", "s", "ing"]) for _ in range(r.randint(0, 12)))) for i in range(150)] + [(200, None), (201, "rotter " * 3000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int("rotter" in t)) for i, t in rows[:150]], "doc_id long, toxic int")
+    machine = toxicity.learn(docs, labels, "doc_id", "text", "toxic", F.lit(True))
+
+    def bucket(b):
+        x = np.frombuffer(b, np.uint8)
+        return int(toxicity.span_hash(toxicity.prefix_hash(x), np.array([0]), np.array([len(x)]))[0]) >> (64 - toxicity.BITS)
+
+    got = {x.doc_id: x.score for x in score_toxicity(docs, labels, F.lit(True)).collect()}
+    for i, t in rows:
+        words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))]
+        terms = {machine.number[bucket(x)] for w in words for x in [w] + [w[:k] for k in (4, 5) if len(w) > k]} - {-1}
+        z = machine.bias + sum(machine.weight[k] for k in terms)
+        z += sum(float(machine.factor[j] @ machine.factor[k]) for j in terms for k in terms if j < k)
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+    assert got[201] > 0.9 > 0.3 > min(got[i] for i, _ in rows[:150])
+
+
+def test_toxicity_learns_from_one_text_of_a_sampled_label(spark):
+    docs = spark.createDataFrame([(1, f"rotter number {k}") for k in range(500)] + [(i, "rotter") for i in range(2, 40)] + [(i, "fine") for i in range(40, 90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(1, 90)] * 3, "doc_id long, toxic int")
+    machine = toxicity.learn(docs, labels, "doc_id", "text", "toxic", F.lit(True), max_sample=60)
+    # "number" stands in 500 rows of one id, so in one sampled row at most
+    assert (machine.number >= 0).sum() <= 4
+    scored = {(x.doc_id, x.score >= 0.3) for x in score_toxicity(docs, labels, F.lit(True)).collect()}
+    assert scored == {(i, i < 40) for i in range(1, 90)}
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (3, None), (3, 0), (None, 1), (4, 7)], "doc_id long, toxic int")
     got = score_toxicity(odd(spark), labels, F.lit(True)).collect()
@@ -369,6 +401,42 @@ def test_language_of_held_out_texts(spark):
     assert {x.lang_pred for x in predict_language(odd(spark), F.lit(False)).collect()} == {"und"}
 
 
+def language_brute(rows, learnt):
+    """The posterior of each language, from Python counts of n-grams by bucket."""
+
+    def buckets(t):
+        t = "".join(c.lower() if ord(c) < 0x10000 and len(c.lower()) == 1 else c for c in t)
+        for n in (1, 2, 3):
+            for k in range(len(t) - n + 1):
+                key = 0
+                for c in t[k : k + n]:
+                    key = key << 21 | ord(c)
+                x = (key + (n << 57)) * 0x9E3779B97F4A7C15 % 2**64
+                x ^= x >> 29
+                yield x * 0xBF58476D1CE4E5B9 % 2**64 >> (64 - language.BITS)
+
+    counts = {}
+    for _, lang, t in learnt:
+        c = counts.setdefault(lang, {})
+        for x in buckets(t):
+            c[x] = c.get(x, 0) + 1
+    whole = {lang: sum(c.values()) + language.SMOOTHING * language.BUCKETS for lang, c in counts.items()}
+    for i, _, t in rows:
+        z = {lang: sum(math.log((c.get(x, 0) + language.SMOOTHING) / whole[lang]) for x in buckets(t)) for lang, c in counts.items()}
+        best = max(sorted(z), key=z.get)
+        yield i, best, 1 / sum(math.exp(v - z[best]) for v in z.values())
+
+
+def test_language_scores_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD", 1)
+    r = random.Random(11)
+    rows = [(i, r.choice(["xx", "yy", "zz"]), "".join(r.choice("aÄbß𝔘 cД") for _ in range(r.randint(1, 12))) + "a") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    got = {x.doc_id: (x.lang_pred, x.score) for x in predict_language(df, F.col("doc_id") % 3 != 1).collect()}
+    for i, best, score in language_brute(rows, [x for x in rows if x[0] % 3 != 1]):
+        assert got[i][0] == best and abs(got[i][1] - score) < 1e-4
+
+
 # --- licences ---
 
 
