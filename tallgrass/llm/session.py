@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows above which a side is joined by shuffle and not broadcast (16 bytes a row: 32 MB).
-BROADCAST_ROWS = 2_000_000
+#: Rows above which a side is joined by shuffle and not broadcast (rows of two longs, about 70 bytes in a hash table: 35 MB).
+BROADCAST_ROWS = 500_000
 
 
 def _shared_folder(spark: SparkSession) -> str:

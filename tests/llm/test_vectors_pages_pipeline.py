@@ -3,13 +3,17 @@
 import re
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_text_operators import ascii_lower, contamination_brute, jaccard_brute, pii_terms_brute
 
 import corpus_pipeline
 from tallgrass.llm import html_extract as h
+from tallgrass.llm import mixing, pii
 from tallgrass.llm.embedding_dedup import near_duplicate_vectors, plan
+from tallgrass.llm.toxicity import score_toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -200,6 +204,71 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == len(ids)
 
 
+def mask_brute(text, spans):
+    """The text with each stretch of kind:start:end spans replaced by the name of its first."""
+    out, at = [], 0
+    for kind, start, end in (x.split(":") for x in spans.split(",") if x):
+        start, end = int(start), int(end)
+        if start >= at:
+            out += [text[at:start], pii.PLACEHOLDER[kind]]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def cut_brute(text, hit):
+    """The text without its stretches of hit words; None if more than half of the words are hit."""
+    found = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))]
+    if hit and len(hit) > 0.5 * len(found):
+        return None
+    out, at = "", 0
+    for k in hit:
+        if k - 1 not in hit:
+            out += text[at : found[k][0]]
+        at = found[k][1]
+    return out + text[at:]
+
+
+def test_pipeline_stages_are_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(name, rows):
+        out = stages[name](spark, rows, SF)
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        return out, sorted((r.doc_id, r.text) for r in out.collect()) if name != "mixing" else out
+
+    before = sorted((r.doc_id, r.text) for r in docs.collect())
+    scores = {r.doc_id: r.score for r in score_toxicity(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 4 != 2).collect()}
+    docs, got = kept("toxicity", docs)
+    assert got == [x for x in before if scores[x[0]] < 0.3] and len(got) < len(before)
+    before = got
+    docs, got = kept("near_copies", docs)
+    least = {i: c for i, _, c in jaccard_brute(before, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILAR)}
+    assert got == [x for x in before if least[x[0]] == x[0]] and len(got) < len(before)
+    before = got
+    docs, got = kept("decontamination", docs)
+    hits = {x[0]: x[5] for x in contamination_brute(before, [(str(r.item_id), r.text) for r in items.collect()], 10)}
+    cut = [(i, cut_brute(t, hits[i])) for i, t in before]
+    assert got == [x for x in cut if x[1] is not None]
+    before = got
+    docs, got = kept("pii", docs)
+    assert got == [(i, mask_brute(t, s)) for (i, t), s in zip(before, pii_terms_brute([t for _, t in before]), strict=True)]
+    mixed, _ = kept("mixing", docs)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/pii/*.parquet'")
+    names = ["doc_id", "size", "source_size", "taken"]
+    assert sorted(map(tuple, mixed.select(*names).collect())) == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({mixing.SQL})").fetchall())
+
+
+def test_near_copies_keep_a_unique_text_of_a_shared_id(spark):
+    a = " ".join(f"a{i}" for i in range(30))
+    rows = [(1, a), (5, a), (5, "a wholly different text of its own"), (None, a), (None, a + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [(1, a), (5, rows[2][1])]
+
+
 def test_pipeline_of_odd_documents(spark, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "same text of some words", "en", "a", 23), (4, "same text of some words", "en", None, 23), (5, "x@y.org is it", "en", "b", 12), (None, "lonely", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
