@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallgrass.llm import mixing, pii
 from tallgrass.llm.decontaminate import remove_contamination
 from tallgrass.llm.ngram_join import ngram_jaccard_components
-from tallgrass.llm.session import Written
+from tallgrass.llm.session import Written, checkpoint, sized
 from tallgrass.llm.toxicity import score_toxicity
 
 #: The columns of documents; all stages but the last return these.
@@ -41,10 +41,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # ids can be null or used by several texts, so a document is known by id and text; null ids come last
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     groups = ngram_jaccard_components(docs.select(key.alias("key"), "text"), id_col="key", n=SHINGLE, percent=SIMILAR)
-    gone = groups.where(~F.col("key").eqNullSafe(F.col("component_id"))).select("key.id", "key.hash").distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["hash"]), "left_anti")
-    # of copies that share the id too, one
-    return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    # a row a key: whether another document of its group stays, and how many rows have the key
+    keys = groups.groupBy("key").agg(F.first(~F.col("key").eqNullSafe(F.col("component_id"))).alias("gone"), F.count("*").alias("rows"))
+    keys = checkpoint(keys.where(F.col("gone") | (F.col("rows") > 1)).select(F.col("key.id").alias("id"), F.col("key.hash").alias("hash"), "gone"))
+    gone, twice = keys.where("gone"), keys.where("not gone")
+
+    def among(rows: DataFrame, some: DataFrame, n: int, how: str) -> DataFrame:
+        some = sized(some, n)
+        return rows.join(some, rows["doc_id"].eqNullSafe(some["id"]) & (F.xxhash64(rows["text"]) == some["hash"]), how)
+
+    n_gone, n_twice = gone.count(), twice.count()
+    kept = among(docs, gone, n_gone, "left_anti").select(*COLUMNS)
+    if n_twice:  # of copies that share the id too, one
+        kept = among(kept, twice, n_twice, "left_anti").union(among(kept, twice, n_twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
