@@ -11,6 +11,18 @@ from .session import checkpoint, dealt
 SMALL, PART = 200_000, 4096
 
 
+def least_of_component(member: DataFrame) -> DataFrame:
+    """member (node, component, least; a row a node) with component_id, the least `least` of its component (null last).
+
+    A component of very many nodes is dealt into parts, unless the components are few enough to be broadcast.
+    """
+    ids = checkpoint(member.groupBy("component").agg(F.min("least").alias("component_id")))
+    if ids.count() <= SMALL:
+        return member.join(F.broadcast(ids), "component")
+    salted, copied = dealt(member, ["component"], PART, F.xxhash64("node"))
+    return salted.join(copied(ids), ["component", "salt"]).drop("salt")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (u, v), any order, of one orderable type -> (node, component), component the smallest node reached.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, least_of_component
 from .session import BROADCAST_ROWS, Written, bounded_batches, checkpoint, dealt
 from .textblock import LOWER, NOT_SPACE, U, blocks, distinct, mix, prefix_hash, shingles, span_hash, words
 
@@ -269,8 +269,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     # of a component of classes, the least id of all its rows
     member = classes.select(F.struct("s", "n").alias("node"), "least").join(whole, "node").select("node", "component", "least")
-    ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = member.join(ids, "component").select(F.col("node.s").alias("s"), F.col("node.n").alias("n"), "component_id")
+    named = least_of_component(member).select(F.col("node.s").alias("s"), F.col("node.n").alias("n"), "component_id")
     alone = classes.join(named, ["s", "n"], "left").select("s", "n", F.coalesce("component_id", "least").alias("component_id"))
     # copies of one text can be a large part of all rows: they are dealt into parts by their place among the checkpointed rows
     salted, copied = dealt(rows.where("n > 0"), ["s", "n"], PART, F.monotonically_increasing_id(), classes)

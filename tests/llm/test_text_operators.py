@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import time
 from bisect import bisect_left
 
@@ -538,3 +539,115 @@ def test_license_names_with_a_lead_and_between_other_lines():
     # no wildcard takes a line that is a known sentence
     assert name("Copyright 2020 X\nReleased under the MIT License\nAll rights reserved") == ["MIT", "All-Rights-Reserved"]
     assert name("The software is provided as is\nand so on\n" + WRAPPED["MIT"]) == ["unmatched", "MIT"]
+
+
+NOTICES = {
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+(1) Redistributions of source code must retain the above copyright notice,
+    this list of conditions and the following disclaimer.
+
+(2) Redistributions in binary form must reproduce the above copyright notice,
+    this list of conditions and the following disclaimer in the documentation
+    and/or other materials provided with the distribution.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "Zlib": """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    "CC-BY-SA-4.0": """This work is licensed under a Creative Commons BY-SA 4.0
+International License.""",
+}
+
+
+@pytest.mark.parametrize("name", NOTICES)
+@pytest.mark.parametrize("mark", ["", " * ", "// "])
+def test_more_notices_are_one_span(name, mark):
+    whole = re.sub(r"\n(?!\n)", " ", NOTICES[name].replace("\n\n", "\x00")).replace("\x00", "\n\n")
+    for notice in (NOTICES[name], whole):
+        text = "some words\n\n" + "\n".join(mark + x for x in notice.split("\n")) + "\n\nmore"
+        assert [x[0] for x in license.match_rules(license.sentence_ids(text))] == [name]
+
+
+@pytest.mark.parametrize("width", [30, 72, 100_000])
+def test_every_fixed_sentence_and_name_is_known(width):
+    for id_, sentence in license.FIXED.items():
+        text = textwrap.fill(sentence.capitalize() + ".", width)
+        assert [x[0] for x in license.sentence_ids(f"before\n{text}\nbehind")] == [id_]
+    for of, names in license.NAMES_OF.items():
+        for x in names:
+            for text in (f"This library is licensed under the {x.title()} license.", f"The {x} License"):
+                assert [r[0] for r in license.match_rules(license.sentence_ids(textwrap.fill(text, width)))] == [of]
+    assert len(license.NAMES_OF) + 12 >= 40
+
+
+def test_license_rules_are_brute_force():
+    """Of each rule every sequence it allows, tried by itself at each place."""
+    r = random.Random(4)
+    ids = sorted({want.rstrip("?").partition("=")[0] for _, rule in license.RULES for want in rule})
+    for _ in range(400):
+        found = [(r.choice(ids), {}, 10 * k, 10 * k + 9) for k in range(r.randint(0, 9))]
+        if r.random() < 0.7:
+            rule = r.choice(license.RULES)[1]
+            found[:0] = [(w.rstrip("?").partition("=")[0], {}, -100 + 10 * k, -91 + 10 * k) for k, w in enumerate(x for x in rule if not x.endswith("?") or r.random() < 0.5)]
+        names = [f[0] for f in found]
+        want, i = [], 0
+        while i < len(names):
+            for _, rule in license.RULES:
+                # a greedy run: of the sequences that match, the first in order of taking optional sentences
+                options = [[]]
+                for w in rule:
+                    id_ = w.rstrip("?")
+                    options = [o + [id_] for o in options if "=" not in id_] + ([o for o in options] if w.endswith("?") else [])
+                fits = [o for o in options if o and names[i : i + len(o)] == o]
+                if fits:
+                    want.append((found[i][2], found[i + max(map(len, fits)) - 1][3]))
+                    i += max(map(len, fits))
+                    break
+            else:
+                want.append((found[i][2], found[i][3]))
+                i += 1
+        assert [x[1:] for x in license.match_rules(found)] == want
+
+
+def test_a_long_line_and_many_openings_take_time_in_proportion():
+    began = time.monotonic()
+    license.sentence_ids("licensed under the " + "very long line " * 100_000)
+    license.sentence_ids("The software is provided as is\n" * 5_000)
+    license.sentence_ids("Permission is hereby granted, free of charge, to any person\n" * 5_000)
+    assert time.monotonic() - began < 20
