@@ -10,6 +10,10 @@ Vectors of a bucket are compared by blocks of BLOCK: a bucket of more is dealt i
 of parts is a block of its own, so no task holds a whole large bucket and no pair is left out. A block gives,
 for each of its vectors, how many links it found, and the component of the links inside the block; a pair is
 counted in the first table in which it meets. Equal vectors are one vector with a count.
+
+Near vectors share many tables. A bucket that holds the very vectors of a bucket in an earlier table (told by their number
+and two sums of hashes) is left out before any vector is sent, and a block whose vectors all met in one earlier bucket is not
+compared again.
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .session import bounded_batches, checkpoint
+from .components import connected_components, least_of_component
+from .session import bounded_batches, checkpoint, dealt
 
 #: Width of a hash's steps, for unit vectors.
 STEP = 2.0
 #: Vectors of a part of a bucket.
 BLOCK = 256
+#: Rows of one vector that meet in a task when results go back to rows.
+PART = 512
 
 
 def agree(distance: float, step: float = STEP) -> float:
@@ -81,6 +87,9 @@ def _keys(units: list[np.ndarray], k: int, t: int, seed: int) -> np.ndarray:
 
 def _links(x: np.ndarray, y: np.ndarray | None, kx: np.ndarray, ky: np.ndarray | None, table: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of x (or of x and y) at that cosine or above that met in no table before this one."""
+    every = kx[:, :table] if ky is None else np.concatenate([kx[:, :table], ky[:, :table]])
+    if table and (every == every[0]).all(0).any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = x @ (x if y is None else y).T
     i, j = np.nonzero(c >= cosine)
     if y is None:
@@ -135,7 +144,11 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     hashed = checkpoint(nodes.select("node", "copies", "v").mapInArrow(hash_, "node struct<node:bigint,more:bigint>, copies long, u binary, keys array<bigint>"))
     placed = hashed.select("node", F.posexplode("keys").alias("table", "key"))
     # buckets of one vector link nothing; larger ones are dealt into parts
-    crowded = placed.groupBy("table", "key").count().where("count > 1").select("table", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    sums = [F.bit_xor(F.xxhash64("node")).alias("s1"), F.sum(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 32))).alias("s2")]
+    crowded = placed.groupBy("table", "key").agg(F.count("*").alias("count"), *sums).where("count > 1")
+    # of buckets of the same vectors, that of the first table
+    crowded = crowded.groupBy("count", "s1", "s2").agg(F.min(F.struct("table", "key")).alias("b"))
+    crowded = crowded.select("b.table", "b.key", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
     member = placed.join(crowded, ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     member = member.select("node", "table", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     member = member.select("node", "table", "key", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
@@ -204,14 +217,15 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     found = checkpoint(blocks.mapInArrow(compare, f"node {kind}, root {kind}, links long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    member = nodes.select("node", "copies", "least").join(links, "node", "left").join(whole, "node", "left")
-    member = member.withColumn("component", F.coalesce("component", "node"))
-    ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = least_of_component(nodes.select("node", "least").join(whole, "node")).select("node", "component_id", F.lit(True).alias("linked"))
     # a vector with a direction also links with its own copies
-    turned = hashed.select("node").withColumn("turned", F.lit(1))
-    member = member.join(ids, "component").join(turned, "node", "left")
-    member = member.select(F.col("node.node").alias("n1"), F.col("node.more").alias("n2"), "turned", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    full = rows.join(member, (F.col("node") == F.col("n1")) & (F.col("more") == F.col("n2")), "left")
-    on = F.col("turned").isNotNull()
-    component = F.when(on, F.col("component_id")).otherwise(F.col("id"))
-    return full.select(F.col("id").alias(id_col), F.when(on, F.col("links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    turned = hashed.select("node").withColumn("turned", F.lit(True))
+    member = nodes.select("node", "copies", "least").join(links, "node", "left").join(named, "node", "left").join(turned, "node", "left")
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least"))
+    member = member.select("node.node", "node.more", "turned", component.alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    # copies of one vector can be a large part of all rows: they are dealt into parts by their place among the checkpointed rows
+    salted, copied = dealt(rows.where("node is not null").select("id", "node", "more"), ["node", "more"], PART, F.monotonically_increasing_id(), nodes.select("node.node", "node.more", F.col("copies").alias("count")))
+    full = salted.join(copied(member), ["node", "more", "salt"]).select("id", "turned", "component_id", "links")
+    full = full.union(rows.where("node is null").select("id", F.lit(None), "id", F.lit(0)))
+    component = F.when(F.col("turned"), F.col("component_id")).otherwise(F.col("id"))
+    return full.select(F.col("id").alias(id_col), F.when(F.col("turned"), F.col("links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

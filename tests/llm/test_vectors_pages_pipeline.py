@@ -55,6 +55,14 @@ def test_a_large_bucket_is_compared_whole(spark):
     assert {x.component_id for x in got} == {0}
 
 
+def test_many_copies_of_one_vector_and_of_none(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(1500)] + [(9000 + i, None) for i in range(1500)] + [(5000, [2.0, 1.0]), (5001, [2.0, 1.0001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df).collect()}
+    want = {i: (1499, 0, i == 0) for i in range(1500)} | {9000 + i: (0, 9000 + i, True) for i in range(1500)} | {5000: (1, 5000, True), 5001: (1, 5000, False)}
+    assert got == want
+
+
 def test_odd_vectors(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (None, [0.0, 1.0]), (10, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
