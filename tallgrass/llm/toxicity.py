@@ -26,7 +26,7 @@ BUCKETS = 1 << BITS
 #: Share of the sampled rows in which a term must stand (and 3 rows at least): of one seen in fewer little can be told.
 MIN_SHARE = 0.001
 #: Most labelled rows that the machine is fitted on.
-MAX_SAMPLE = 20_000
+MAX_SAMPLE = 16_000
 #: Size of the pairwise factors; passes over the sample at most, and steps before which the fit doesn't stop.
 FACTORS, EPOCHS, LEAST_STEPS = 4, 60, 600
 #: Passes without a better loss on the rows left out, after which it stops.
@@ -72,11 +72,10 @@ class Machine:
 
 
 class _Rows:
-    """Rows of terms (row ascending), of which any can be taken out."""
+    """Rows of terms, one behind another from start[row] on, of which any can be taken out."""
 
-    def __init__(self, term: np.ndarray, row: np.ndarray, label: np.ndarray):
-        self.term, self.label = term, label
-        self.start = np.searchsorted(row, np.arange(len(label) + 1))
+    def __init__(self, term: np.ndarray, start: np.ndarray):
+        self.term, self.start = term, start
 
     def take(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = self.start[chosen + 1] - self.start[chosen]
@@ -84,8 +83,8 @@ class _Rows:
         return self.term[np.repeat(self.start[chosen] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(r))], r
 
 
-def fit(term: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss with an L2 penalty, by Adam over batches; rows ascending. Bias, weights, factors.
+def fit(term: np.ndarray, start: np.ndarray, label: np.ndarray, n_terms: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss with an L2 penalty, by Adam over batches; the terms of row i are term[start[i] : start[i + 1]]. Bias, weights, factors.
 
     A tenth of the rows is left out, and the parameters of the least loss on it are taken.
     """
@@ -96,7 +95,7 @@ def fit(term: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, seed
     params = [np.array([np.log(p / (1 - p))]), np.zeros(n_terms), rng.normal(0, 0.3 / np.sqrt(1 + len(term) / n), (FACTORS, n_terms))]
     first = [np.zeros_like(x) for x in params]
     second = [np.zeros_like(x) for x in params]
-    rows = _Rows(term, row, label)
+    rows = _Rows(term, start)
     order = rng.permutation(n)
     aside, train = order[: n // 10], order[n // 10 :]
     size = max(32, min(512, n // 16))
@@ -158,18 +157,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 yield pa.RecordBatch.from_arrays([found, batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i)], names=["terms", "label", "id"])
 
     sample = rows.select("text", "label", F.xxhash64("id").alias("id")).mapInArrow(pick, "terms array<int>, label int, id long").toArrow()
+    # in the order of ids, whatever order the rows came in
     sample = sample.sort_by([("id", "ascending"), ("label", "ascending")])
-    label = sample["label"].to_numpy().astype(float)
+    label, lists = sample["label"].to_numpy().astype(float), sample["terms"].combine_chunks()
+    del sample
     number = np.full(BUCKETS, -1, np.int32)
     if len(np.unique(label)) < 2:
         p = (label.sum() + 0.5) / (len(label) + 1)
         return Machine(number, float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, FACTORS)))
-    lists = sample["terms"].combine_chunks()
-    term, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
+    term, start = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
     kept = np.flatnonzero(np.bincount(term, minlength=BUCKETS) >= max(3, MIN_SHARE * len(label)))
     number[kept] = np.arange(len(kept))
-    on = number[term] >= 0
-    return Machine(number, *fit(number[term[on]].astype(np.int64), row[on], label, len(kept)))
+    term = number[term]
+    start = np.concatenate([[0], np.cumsum(term >= 0)])[start - start[0]]
+    return Machine(number, *fit(term[term >= 0], start, label, len(kept)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
