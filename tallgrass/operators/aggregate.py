@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+from .windows import cumulative_global
 
 # --- of one column; each is an aggregate expression ---
 
@@ -83,8 +85,7 @@ def trimmed_mean(df: DataFrame, c: str, part: float, out: str = "trimmed_mean")
     Distinct values with their counts are ranked by a running sum, so equal values at a cut count as often as they are kept.
     """
     counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("k"))
-    w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("k").over(w)).crossJoin(F.broadcast(counts.agg(F.sum("k").alias("n"))))
+    placed = cumulative_global(counts, "k", c, "upto").crossJoin(F.broadcast(counts.agg(F.sum("k").alias("n"))))
     cut = F.floor(F.col("n") * part)
     kept = F.greatest(F.lit(0), F.least("upto", F.col("n") - cut) - F.greatest(F.col("upto") - F.col("k"), cut))
     return placed.agg((F.sum(F.col(c) * kept) / F.sum(kept)).alias(out))
@@ -168,6 +169,41 @@ def crosstab(df: DataFrame, row: str, column: str, values: list, normalize: str
     return counts
 
 
+def cross_level(df: DataFrame, levels: list[str], source: int, target: int, **aggs: Column) -> DataFrame:
+    """Aggregates over the raw rows of each target node (levels count from 0); with the source nearer the root, of the source
+    node that each target node lies in, once for each target node."""
+    keys, wide = levels[: target + 1], levels[: source + 1]
+    if source >= target:
+        return df.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()])
+    pooled = df.groupBy(*wide).agg(*[v.alias(k) for k, v in aggs.items()])
+    nodes = df.select(*keys).distinct()
+    same = [nodes[k].eqNullSafe(pooled[k]) for k in wide]
+    return nodes.join(pooled, same).select(*[nodes[k] for k in keys], *aggs)
+
+
+def nested_transform(df: DataFrame, levels: list[str], level: int, f: Callable[[WindowSpec], Column], out: str) -> DataFrame:
+    """df with a column that f gives from the window of each node of a level."""
+    return df.withColumn(out, f(Window.partitionBy(*levels[: level + 1])))
+
+
+def hierarchical_filter(df: DataFrame, levels: list[str], level: int, condition: Column) -> DataFrame:
+    """The rows of the nodes of a level for which an aggregate condition holds; NULL keys are nodes too."""
+    keys = levels[: level + 1]
+    good = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(condition.alias("_keep")).where("_keep")
+    return df.join(good, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
+
+
+def cross_level_comparison(df: DataFrame, levels: list[str], c: str, base: int, compare: list[int]) -> DataFrame:
+    """The sum of c of each node of the base level, and of the nodes of the compared levels (nearer the root) it lies in."""
+    keys = levels[: base + 1]
+    sums = df.groupBy(*keys).agg(F.sum(c).alias(f"{c}_base_level_{base}"))
+    out = sums
+    for k in compare:
+        # the sums of nodes above come from the sums of nodes, not from the rows again
+        out = out.withColumn(f"{c}_level_{k}", F.sum(f"{c}_base_level_{base}").over(Window.partitionBy(*levels[: min(k, base) + 1])))
+    return out
+
+
 def rollup_levels(df: DataFrame, levels: list[str], **aggs: Column) -> DataFrame:
     """Aggregates of every level of a hierarchy, without the grand total; rollup_level counts from 0."""
     out = df.rollup(*levels).agg(F.grouping_id().alias("_g"), *[v.alias(k) for k, v in aggs.items()])

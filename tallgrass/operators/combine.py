@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import cumulative_global
+
 # --- joins ---
 
 
@@ -46,9 +48,12 @@ def compare(left: DataFrame, right: DataFrame, key: str, columns: list[str]) ->
     return both.select(key, F.explode(cells).alias("x")).where(~F.col("x.left_value").eqNullSafe(F.col("x.right_value"))).select(key, "x.*")
 
 
-def update(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """left with the values of right where right has one."""
-    other = right.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+def update(left: DataFrame, right: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """left with the values of right where right has one. Of several rows of a key in right the last in the order
+    counts (without one, the greatest values in the order of columns), so left keeps its rows."""
+    last = F.max_by(F.struct(*columns), F.struct(*(order or columns)))
+    one = right.groupBy(key).agg(last.alias("_last"))
+    other = one.select(key, *[F.col(f"_last.{c}").alias(f"_{c}") for c in columns])
     joined = left.join(other, key, "left")
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in left.columns])
 
@@ -127,11 +132,11 @@ def rank(df: DataFrame, c: str, out: str, method: str = "average", by: list[str]
     """
     by = by or []
     key = F.asc(c) if ascending else F.desc(c)
+    if not by and dict(df.dtypes)[c] in WIDE and _leaf_bytes(df) > ONE_TASK_BYTES:
+        return _rank_all(df, c, out, method, ties or [], pct, ascending)
     if method == "first":
-        w = Window.partitionBy(*by).orderBy(key, *(ties or []))
         n = F.count(c).over(Window.partitionBy(*by))
         r = F.row_number().over(Window.partitionBy(*by, F.col(c).isNull()).orderBy(key, *(ties or []))).cast("double")
-        del w
         return df.withColumn(out, F.when(F.col(c).isNotNull(), r / n if pct else r))
     counts = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("_k"))
     w = Window.partitionBy(*by).orderBy(key)
@@ -146,6 +151,37 @@ def rank(df: DataFrame, c: str, out: str, method: str = "average", by: list[str]
     return df.join(ranked, condition, "left").drop("_v", *[f"_b{i}" for i in range(len(by))])
 
 
+#: Types over whose values a running sum can be taken by slices.
+WIDE = frozenset({"tinyint", "smallint", "int", "bigint", "float", "double"})
+
+
+#: Tables of more than this are ranked by slices; of smaller ones a task can order all distinct values.
+ONE_TASK_BYTES = 64 << 20
+
+
+def _leaf_bytes(df: DataFrame) -> int:
+    """The size that Spark reckons for the largest table df reads; no job is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return max((int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())), default=0)
+
+
+def _rank_all(df: DataFrame, c: str, out: str, method: str, ties: list[str], pct: bool, ascending: bool) -> DataFrame:
+    """rank without groups: distinct values are numbered by slices and offsets, so that no task holds them all."""
+    sign = F.lit(1) if ascending else F.lit(-1)
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_k")).withColumn("_at", F.col("_v") * sign).withColumn("_one", F.lit(1))
+    placed = cumulative_global(counts, "_one" if method == "dense" else "_k", "_at", "_upto")
+    r = {"average": F.col("_upto") - (F.col("_k") - 1) / 2, "max": F.col("_upto"), "dense": F.col("_upto")}.get(method, F.col("_upto") - F.col("_k") + 1).cast("double")
+    ranked = placed.select("_v", r.alias("_r"))
+    joined = df.join(ranked, df[c] == ranked["_v"], "left")
+    r = F.col("_r")
+    if method == "first":  # equal values in the order of ties
+        r = r + F.when(r.isNotNull(), F.row_number().over(Window.partitionBy(c).orderBy(*(ties or [F.lit(0)]))) - 1)
+    if pct:
+        total = counts.agg((F.count("*") if method == "dense" else F.sum("_k")).alias("_n"))
+        joined, r = joined.crossJoin(F.broadcast(total)), r / F.col("_n")
+    return joined.withColumn(out, r).drop("_v", "_r", "_n")
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
@@ -156,5 +192,6 @@ def head_tail(df: DataFrame, order: list[str], n: int, tail: bool = False) -> Da
 
 
 def sample_by_hash(df: DataFrame, key: str, part: float, seed: int = 0) -> DataFrame:
-    """A reproducible sample: rows whose hash falls in the given part."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(part * 1_000_000))
+    """A reproducible sample: rows whose hash (the first 32 bits of the md5 of seed and key) falls in the given part."""
+    head = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.where(head < int(part * (1 << 32)))

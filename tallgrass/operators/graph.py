@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -86,10 +92,11 @@ def triangles(edges: DataFrame) -> DataFrame:
     d = e.groupBy("src").agg(F.count("*").alias("d"))
     a = e.join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst")
     up = _cut(a.where((F.col("d") < F.col("d2")) | ((F.col("d") == F.col("d2")) & (F.col("src") < F.col("dst")))).select("src", "dst"))
-    x, y, z = up.alias("x"), up.alias("y"), up.alias("z")
-    found = x.join(y, F.col("x.src") == F.col("y.src")).where("x.dst < y.dst")
-    closed = found.join(z, ((F.col("x.dst") == F.col("z.src")) & (F.col("y.dst") == F.col("z.dst"))) | ((F.col("y.dst") == F.col("z.src")) & (F.col("x.dst") == F.col("z.dst"))))
-    corners = closed.select(F.explode(F.array("x.src", "x.dst", "y.dst")).alias("id"))
+    # a pair of ends is closed by the one edge between them, whichever way it points: ends are joined in one order
+    x, y = up.alias("x"), up.alias("y")
+    found = x.join(y, F.col("x.src") == F.col("y.src")).where("x.dst < y.dst").select(F.col("x.src").alias("top"), F.col("x.dst").alias("low"), F.col("y.dst").alias("high"))
+    sides = up.select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"))
+    corners = found.join(sides, ["low", "high"]).select(F.explode(F.array("top", "low", "high")).alias("id"))
     return corners.groupBy("id").agg(F.count("*").alias("triangles"))
 
 

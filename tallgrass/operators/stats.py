@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -214,20 +216,24 @@ def zscore_outliers(df: DataFrame, c: str, bound: float = 3.0) -> DataFrame:
     return df.crossJoin(F.broadcast(m)).where(F.abs(F.col(c) - F.col("_m")) > bound * F.col("_s")).drop("_m", "_s")
 
 
-def bootstrap_means(df: DataFrame, c: str, samples: int = 200, seed: int = 0) -> DataFrame:
-    """sample and mean of so many resamples: each row counts Poisson(1) times in each, so one pass suffices."""
-    # fixed values: the distribution function of Poisson(1)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    known = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("_v"), F.rand(seed).alias("_r"))
+def bootstrap_means(df: DataFrame, c: str, samples: int = 200, seed: int = 0, key: list[str] | None = None) -> DataFrame:
+    """sample and mean of so many resamples: each row counts Poisson(1) times in each, so one pass suffices.
+
+    The draws are a hash of the key (all columns by default), so a lost task draws the same again; rows of equal key are
+    drawn together, so name one that tells rows apart.
+    """
+    # the distribution function of Poisson(1), to where a hash of 40 bits tells no more
+    steps = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(15)]
+    known = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("_v"), F.xxhash64(F.lit(seed), *(key or df.columns)).alias("_r"))
     each = known.select("_v", "_r", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
     u = F.pmod(F.xxhash64("_r", "sample"), F.lit(1 << 40)) / float(1 << 40)
     times = sum(((u > s).cast("int") for s in steps), F.lit(0))
     return each.withColumn("_w", times).groupBy("sample").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("mean"))
 
 
-def bootstrap_interval(df: DataFrame, c: str, level: float = 0.95, samples: int = 200, seed: int = 0) -> DataFrame:
+def bootstrap_interval(df: DataFrame, c: str, level: float = 0.95, samples: int = 200, seed: int = 0, key: list[str] | None = None) -> DataFrame:
     q = F.percentile("mean", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return bootstrap_means(df, c, samples, seed).agg(q.alias("_q")).select(F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    return bootstrap_means(df, c, samples, seed, key).agg(q.alias("_q")).select(F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 
 def stratified_sample(df: DataFrame, stratum: str, part: float, key: str, seed: int = 0) -> DataFrame:

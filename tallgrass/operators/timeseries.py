@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import slice_of
+
 
 def _aggs(aggs: dict[str, Column]) -> list[Column]:
     return [v.alias(k) for k, v in aggs.items()]
@@ -45,7 +47,7 @@ def numbered(df: DataFrame, order: str, out: str = "_i", slices: int | None = No
     """Rows numbered from 1 in the order of one column of distinct values, by range slices and offsets."""
     slices = slices or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / slices) for k in range(1, slices)]), 20 * slices).alias("_cuts"))
-    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_s", F.size(F.filter("_cuts", lambda x: F.col(order) > x))).drop("_cuts")
+    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_s", slice_of(order, "_cuts", slices)).drop("_cuts")
     counts = placed.groupBy("_s").agg(F.count("*").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(F.col("_s").alias("_o"), offset.alias("_offset"))

@@ -6,6 +6,7 @@ task: `cumulative_global` gives running sums of a whole table by range partition
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,6 +43,14 @@ def cummin(c: str, by: list[str], order: list[str]) -> Column:
     return F.when(F.col(c).isNotNull(), F.min(c).over(upto(by, order)))
 
 
+def slice_of(order: str, cuts: str, slices: int) -> Column:
+    """How many of the ascending cuts (slices - 1) lie below the order: first among every step-th, then within a step."""
+    step = max(1, math.isqrt(slices - 1))
+    heads = F.filter(F.col(cuts), lambda x, i: (x < F.col(order)) & (i % step == step - 1))
+    at = F.size(heads) * step
+    return at + F.size(F.filter(F.slice(F.col(cuts), at + 1, F.lit(step)), lambda x: x < F.col(order)))
+
+
 def cumulative_global(df: DataFrame, c: str, order: str, out: str, slices: int | None = None) -> DataFrame:
     """Running sum of c over the whole table in the order of one column, distributed.
 
@@ -50,7 +59,7 @@ def cumulative_global(df: DataFrame, c: str, order: str, out: str, slices: int |
     """
     slices = slices or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / slices) for k in range(1, slices)]), 20 * slices).alias("_cuts"))
-    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_slice", F.size(F.filter("_cuts", lambda x: F.col(order) > x))).drop("_cuts")
+    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_slice", slice_of(order, "_cuts", slices)).drop("_cuts")
     sums = placed.groupBy("_slice").agg(F.sum(c).alias("_sum"))
     offsets = sums.select(F.col("_slice").alias("_s"), F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     inner = F.sum(c).over(Window.partitionBy("_slice").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
@@ -155,18 +164,11 @@ def ewm(df: DataFrame, c: str, by: list[str], order: list[str], out: str, alpha:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order, kind="stable")
-        y = v = None
-        result = []
-        for x in group[c].astype(float):
-            if x == x:
-                if y is None:
-                    y, v = x, 0.0
-                else:
-                    d = x - y
-                    y = y + alpha * d
-                    v = (1 - alpha) * (v + alpha * d * d)
-            result.append(None if y is None else y if how == "mean" else v if how == "var" else v**0.5)
-        return group.assign(**{out: pd.array(result, dtype="Float64")})
+        values = group[c].astype(float).ewm(alpha=alpha, adjust=False, ignore_na=True)
+        result = values.mean() if how == "mean" else values.var(bias=True)
+        # the first value has a variance of 0, and a gap keeps what was there before
+        result = (result**0.5 if how == "std" else result).ffill()
+        return group.assign(**{out: result.astype("Float64")})
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield run(pd.concat(list(batches)))

@@ -169,7 +169,7 @@ def iloc_slice(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").orderBy("o_orderdate", "o_orderkey").offset(30).limit(20).select("o_orderkey")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5('0:' || o_orderkey), 1, 8) AS BIGINT) < 429496729")
 def sample_by_hash(spark: SparkSession, sf: str) -> DataFrame:
     return M.sample_by_hash(table(spark, sf, "orders"), "o_orderkey", 0.1).select("o_orderkey")
 

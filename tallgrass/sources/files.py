@@ -55,3 +55,31 @@ def read_sql(spark: SparkSession, url: str, query: str, column: str | None = Non
 
 def write_sql(df: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
     df.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
+
+
+def parquet_footers(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each column of each row group of the files at a path: file, row_group, rows, column, type, codec, compressed, uncompressed, nulls, low and high (as text; NULL without statistics).
+
+    Footers alone are read, by Hadoop's file systems, on the driver and one file after another: for looking at some files, not for
+    a table of millions.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for name in sorted(spark.read.parquet(path).inputFiles()):
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        try:
+            for i, group in enumerate(reader.getFooter().getBlocks()):
+                for c in group.getColumns():
+                    stats = c.getStatistics()
+                    known = stats is not None and stats.hasNonNullValue()
+                    nulls = stats.getNumNulls() if stats is not None and stats.isNumNullsSet() else None
+                    rows.append((name, i, group.getRowCount(), c.getPath().toDotString(), c.getPrimitiveType().getPrimitiveTypeName().name(), c.getCodec().name(), c.getTotalSize(), c.getTotalUncompressedSize(), nulls, stats.minAsString() if known else None, stats.maxAsString() if known else None))
+        finally:
+            reader.close()
+    return spark.createDataFrame(rows, "file string, row_group int, rows long, `column` string, type string, codec string, compressed long, uncompressed long, nulls long, low string, high string")
+
+
+def read_parquet_evolved(spark: SparkSession, *paths: str) -> DataFrame:
+    """Files whose schemas grew: columns by name, those a file lacks NULL."""
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
