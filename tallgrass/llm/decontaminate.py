@@ -3,7 +3,8 @@
 The automaton's alphabet is the words of the items. Documents are streamed through it; it keeps
 the longest suffix of what was read that is a substring of an item. A word outside the alphabet
 takes it back to the root, so a stretch of a document can only reach a window's length if all its
-word pairs are pairs of some item: numpy finds these stretches, and only they are streamed.
+word pairs are pairs of some item: numpy finds these stretches, and only they are streamed, and of
+stretches shorter than any window of several words only those with a word that is a window itself.
 
 A window is `span` consecutive item words; an item of fewer words, but not none, is one window.
 The automaton is as large as the benchmark (a fixed test set, not the corpus); it is built on the
@@ -13,6 +14,8 @@ driver, checked against MAX_ITEM_WORDS and broadcast.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,73 +25,104 @@ from pyspark.sql import DataFrame
 from .session import bounded_batches
 from .textblock import ALNUM, LOWER, blocks, prefix_hash, span_hash, words
 
-#: A benchmark of more words is refused: its automaton would not fit a worker.
-MAX_ITEM_WORDS = 5_000_000
+#: A benchmark of more words is refused: its automaton takes about 1.1 GB of the driver's Python while it is built, and
+#: 70 MB when sent to the workers (measured: 300,000 random words take 330 MB and 10 s, and 21 MB).
+MAX_ITEM_WORDS = 1_000_000
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers, with the items of each window."""
+    """Generalised suffix automaton over word numbers, with the items of each window.
+
+    An edge is a state and a word, as state * width + word. While it is built, edges are in arrays and found by one
+    dictionary; then in two flat arrays, sorted, which are searched by halves.
+    """
 
     def __init__(self, items: list[tuple[str, list[int]]], span: int):
         self.span = span
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
         texts = [(name, seq) for name, seq in items if seq]
+        self.width = max((max(seq) for _, seq in texts), default=0) + 1
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self._edge: dict[int, int] = {}
+        # edges by number: word, target, the next edge of the same state; and each state's last edge
+        self._word, self._to, self._next, self._last = array("i"), array("i"), array("i"), array("i", [-1])
         for seq in dict.fromkeys(tuple(seq) for _, seq in texts):
             last = 0
             for w in seq:
                 last = self._extend(last, w)
+        keys = np.fromiter(self._edge, np.int64, len(self._edge))
+        order = np.argsort(keys)
+        numbers = np.fromiter(self._edge.values(), np.int64, len(self._edge))[order]
+        self._keys, self._target = array("q", keys[order].tobytes()), array("i", np.frombuffer(self._to, np.int32)[numbers].tobytes() if len(numbers) else b"")
+        del self._edge, self._word, self._to, self._next, self._last
         self._mark(texts)
 
+    def _state(self, length: int, link: int) -> int:
+        self.length.append(length)
+        self.link.append(link)
+        self._last.append(-1)
+        return len(self.length) - 1
+
+    def _join(self, p: int, w: int, to: int) -> None:
+        self._edge[p * self.width + w] = len(self._to)
+        self._word.append(w)
+        self._to.append(to)
+        self._next.append(self._last[p])
+        self._last[p] = len(self._to) - 1
+
+    def _built(self, p: int, w: int) -> int:
+        """The state behind an edge while the automaton is built, or -1."""
+        e = self._edge.get(p * self.width + w, -1)
+        return -1 if e < 0 else self._to[e]
+
     def _clone(self, p: int, q: int, w: int) -> int:
-        c = len(self.length)
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
+        c = self._state(self.length[p] + 1, self.link[q])
+        e = self._last[q]
+        while e >= 0:
+            self._join(c, self._word[e], self._to[e])
+            e = self._next[e]
         self.link[q] = c
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = c
+        while p >= 0 and self._built(p, w) == q:
+            self._to[self._edge[p * self.width + w]] = c
             p = self.link[p]
         return c
 
     def _extend(self, last: int, w: int) -> int:
-        if w in self.next[last]:
-            q = self.next[last][w]
+        q = self._built(last, w)
+        if q >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, w)
-        cur = len(self.length)
-        self.next.append({})
-        self.length.append(self.length[last] + 1)
-        self.link.append(0)
+        cur = self._state(self.length[last] + 1, 0)
         p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = cur
+        while p >= 0 and self._built(p, w) < 0:
+            self._join(p, w, cur)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][w]
+            q = self._built(p, w)
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, w)
         return cur
 
+    def next(self, v: int, w: int) -> int:
+        """The state behind an edge, or -1."""
+        key = v * self.width + w
+        i = bisect_left(self._keys, key)
+        return self._target[i] if i < len(self._keys) and self._keys[i] == key else -1
+
     def _mark(self, texts: list[tuple[str, list[int]]]) -> None:
-        """window[v]: (length, items) of the windows that are suffixes of all that state v stands for."""
-        own: dict[tuple[int, int], set[str]] = {}
+        """own[v]: (length, items) of the windows that end in state v, longest first; marked[v]: the first state with some, on v's suffix links from v on."""
+        own: dict[int, dict[int, set[str]]] = {}
         for name, seq in texts:
             v, length = 0, 0
             for i, w in enumerate(seq):
-                v, length = self.next[v][w], length + 1
+                v, length = self.next(v, w), length + 1
                 if length > self.span:
                     length = self.span
                 while self.length[self.link[v]] >= length:
                     v = self.link[v]
                 if length == min(self.span, len(seq)) and (length == self.span or i == len(seq) - 1):
-                    own.setdefault((v, length), set()).add(name)
-        by_state: dict[int, list[tuple[int, frozenset[str]]]] = {}
-        for (v, length), names in own.items():
-            by_state.setdefault(v, []).append((length, frozenset(names)))
-        #: The windows of a state and of the states on its suffix links, longest first.
-        self.windows: list[tuple[tuple[int, frozenset[str]], ...]] = [()] * len(self.length)
-        for v in sorted(range(1, len(self.length)), key=self.length.__getitem__):
-            self.windows[v] = tuple(sorted(by_state.get(v, []), key=lambda x: -x[0])) + self.windows[self.link[v]]
+                    own.setdefault(v, {}).setdefault(length, set()).add(name)
+        self.own = {v: tuple((n, tuple(names)) for n, names in sorted(by.items(), reverse=True)) for v, by in own.items()}
+        self.marked = array("i", bytes(4 * len(self.length)))
+        for v in np.argsort(np.frombuffer(self.length, np.int32), kind="stable").tolist()[1:]:
+            self.marked[v] = v if v in self.own else self.marked[self.link[v]]
 
     def stream(self, seq: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words inside a window's occurrence, disjoint and in order; items with occurring windows."""
@@ -96,16 +130,20 @@ class Automaton:
         found: set[str] = set()
         v = length = 0
         for i, w in enumerate(seq):
-            while v and w not in self.next[v]:
+            to = self.next(v, w)
+            while v and to < 0:
                 v = self.link[v]
                 length = self.length[v]
-            v = self.next[v].get(w, 0)
+                to = self.next(v, w)
+            v = max(to, 0)
             length = length + 1 if v else 0
-            longest = 0
-            for size, names in self.windows[v]:
-                if size <= length:
-                    longest = longest or size
-                    found |= names
+            longest, u = 0, self.marked[v]
+            while u:
+                for size, names in self.own[u]:
+                    if size <= length:
+                        longest = longest or size
+                        found.update(names)
+                u = self.marked[self.link[u]]
             if longest:
                 a = i + 1 - longest
                 while spans and spans[-1][1] >= a:
@@ -134,7 +172,12 @@ class Matcher:
         self.vocabulary = seen
         self.automaton = Automaton(items, span)
         sizes = [min(span, len(seq)) for _, seq in items if seq]
-        self.least = min(sizes, default=0)
+        # a stretch can hold a window if it is as long as the least one of several words, or holds a window of one word
+        self.least = min((n for n in sizes if n > 1), default=1 << 60)
+        self.single = np.zeros(len(seen) + 1, bool)
+        self.single[[seq[0] for _, seq in items if seq and min(span, len(seq)) == 1 and span > 1]] = True
+        if span == 1:
+            self.single[: len(seen)] = True
         h = span_hash(prefix_hash(LOWER[part]), start, end) if len(part) else np.zeros(0, np.uint64)
         self.hashes, first = np.unique(h, return_index=True)
         self.numbers = np.array(numbers, np.int64)[first] if len(h) else np.zeros(0, np.int64)
@@ -165,7 +208,7 @@ class Matcher:
 
     def _stretches(self, part: np.ndarray, start: np.ndarray, end: np.ndarray, per_row: np.ndarray) -> list[tuple[int, int, int]]:
         """Row, first word and word behind the last of the stretches that can hold a window."""
-        if not self.least or not len(start):
+        if not len(self.vocabulary) or not len(start):
             return []
         h = span_hash(prefix_hash(LOWER[part]), start, end)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -187,7 +230,8 @@ class Matcher:
         # a stretch ends before the next word that does not go on
         nxt = np.searchsorted(stop, head, "right")
         bound = np.where(nxt < len(stop), stop[np.minimum(nxt, len(stop) - 1)], len(h))
-        keep = bound - head >= self.least
+        alone = np.concatenate([[0], np.cumsum(self.single[number] & inside)])
+        keep = (bound - head >= self.least) | (alone[bound] > alone[head])
         return list(zip(row[head[keep]].tolist(), head[keep].tolist(), bound[keep].tolist(), strict=True))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import textwrap
@@ -9,12 +10,13 @@ import time
 from bisect import bisect_left
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.llm import chat, language, license, mixing, pii, toxicity
 from tallgrass.llm.components import connected_components
-from tallgrass.llm.decontaminate import find_contamination, remove_contamination
+from tallgrass.llm.decontaminate import Matcher, find_contamination, remove_contamination
 from tallgrass.llm.language import predict_language
 from tallgrass.llm.ngram_join import ngram_jaccard_components
 from tallgrass.llm.toxicity import score_toxicity
@@ -148,6 +150,19 @@ def test_decontamination_is_brute_force(spark):
         assert got == list(contamination_brute(docs, items, 4))
 
 
+@pytest.mark.parametrize("span", [1, 2, 6])
+def test_automaton_is_brute_force_after_being_sent(span):
+    r = random.Random(span)
+    for voc in (2, 3, 5):
+        text = lambda n: "".join(r.choice("abCéd"[:voc]) + r.choice([" ", "-", "\n"]) for _ in range(n))  # noqa: E731, B023
+        items = [(str(i), text(r.randint(0, 9))) for i in range(6)] + [("n", None)]
+        docs = [(i, r.choice(["", text(r.randint(0, 50)), text(5) + "zz " + text(9)])) for i in range(40)]
+        sent = pickle.loads(pickle.dumps(Matcher(items, span)))
+        rows = sent.rows(pa.array([t for _, t in docs]))
+        got = [(n, [k for s in spans for k in range(*s)], len(names)) for n, _, spans, _, names in rows]
+        assert got == [(x[1], x[5], x[3]) for x in contamination_brute(docs, items, span)]
+
+
 def test_decontamination_removes_spans_only(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda")], "item_id long, text string")
     passage = "Alpha beta, gamma delta epsilon zeta eta theta iota kappa"
