@@ -162,7 +162,7 @@ ONE_TASK_BYTES = 64 << 20
 def _leaf_bytes(df: DataFrame) -> int:
     """The size that Spark reckons for the largest table df reads; no job is run."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return max((int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())), default=0)
+    return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
 
 
 def _rank_all(df: DataFrame, c: str, out: str, method: str, ties: list[str], pct: bool, ascending: bool) -> DataFrame:
