@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: Control strings of the grammar (fixed values).
 OPEN, CLOSE, END = "### ", "</turn>\n", "</turn>"
 
+#: A backslash at the end that takes what follows: one after an even number of them.
+OPEN_ESCAPE = r"(?<!\\)(?:\\\\)*+\\\z"
+
 
 def escape(text: Column) -> Column:
     """text with a backslash before each backslash and inside each control string."""
@@ -58,6 +61,8 @@ def parse(formatted: Column) -> Column:
         body = p.substr(at + 2, F.length(p))
         wrong = ~p.startswith(OPEN) | (at == 0) | (F.instr(p.substr(F.lit(5), F.length(p)), "###") > 0) | (F.instr(p, END) > 0)
         role = p.substr(F.lit(5), at - 5)
+        # a backslash at the end would take the first character of what ends the role or the turn
+        wrong = wrong | role.rlike(OPEN_ESCAPE) | body.rlike(OPEN_ESCAPE)
         return F.struct(F.when(~wrong, unescape(role)).alias("role"), F.when(~wrong, unescape(body)).alias("text"))
 
     return F.transform(pieces, turn)
@@ -103,7 +108,7 @@ def digests(talks: DataFrame, id_col: str = "conv_id") -> DataFrame:
 #: The digests from the source itself. A turn is escaped if its plain form can't be read back.
 SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-x AS (SELECT *, contains(regexp_replace(role || ': ' || text, '\\$', ''), '\') OR contains(role || ': ' || text, '###') OR contains(role || ': ' || text, '</turn>') OR contains(role || ':', ': ') AS conflict FROM c),
+x AS (SELECT *, contains(role || text, '\') OR contains(role || ': ' || text, '###') OR contains(role || ': ' || text, '</turn>') OR contains(role || ':', ': ') AS conflict FROM c),
 e AS (SELECT *, length(role) + length(text) + 14 + CASE WHEN conflict THEN (length(role || text) - length(replace(role || text, '\', ''))) + (length(role || text) - length(replace(role || text, '#', ''))) + (length(role || text) - length(replace(role || text, '</', ''))) // 2 + (length(role || text) - length(replace(role || text, ': ', ''))) // 2 ELSE 0 END AS chars FROM x)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

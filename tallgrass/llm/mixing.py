@@ -19,6 +19,8 @@ from .session import checkpoint
 
 #: Rows of a source in a slice, on average; slices are at most 16**MAX_DIGITS a source.
 SLICE_ROWS, MAX_DIGITS = 64, 7
+#: Copies of one row that are dealt out at once.
+CHUNK = 4096
 
 #: A run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,7 +31,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: str = "") -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: str = "") -> DataFrame:
     """id, source, size, source_size, target, taken and start of every row of docs.
 
     Sources in code point order, null last, have the weights in turn and share `share` times all words; a
@@ -39,15 +41,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     at the exact word. start is the document's first word in the source's sequence. The sum of
     taken is each source's target rounded down.
 
-    The key is the md5 of seed and id: runs agree. Rows of one key are ordered by size; rows
-    equal in both are interchangeable. Rows of null id have the key of the empty string. Texts without words take
+    The key is the md5 of seed, id and text (null: empty): runs agree. Rows of one key and size are interchangeable; they are counted as one row
+    and dealt out again at the end, so that copies of one row never meet. Texts without words take
     nothing. Other columns are left aside, whatever their names; an empty table gives an empty result.
     """
-    size = word_count(F.col("text")) if size is None else size
-    rows = checkpoint(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key")))
+    size = word_count(F.col(text_col)) if size is None else size
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), key.alias("key"))
+    rows = checkpoint(rows.groupBy("id", "src", "size", "key").agg(F.count("*").alias("k")))
+    most = rows.agg(F.max("k")).first()[0] or 0
 
     # one row a source: targets by water-filling over sources sorted by the level at which they are full
-    own = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    own = rows.groupBy("src").agg(F.sum(F.col("size") * F.col("k")).alias("source_size"), F.count("*").alias("n"))
     order = Window.orderBy(F.col("src").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     filled = own.withColumn("w", weight).withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size"))
@@ -69,13 +74,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     sliced = rows.join(named(sources), F.col("src").eqNullSafe(F.col("of"))).drop("of").withColumn("slice", F.expr("left(key, digits)"))
     # sums by slice, then offsets by the leading digits of the slice, so that no window holds all slices of a source
-    parts = sliced.groupBy("src", "slice").agg(F.sum("size").alias("sum")).withColumn("head", F.expr("left(slice, 3)"))
+    parts = sliced.groupBy("src", "slice").agg(F.sum(F.col("size") * F.col("k")).alias("sum")).withColumn("head", F.expr("left(slice, 3)"))
     heads = parts.groupBy("src", "head").agg(F.sum("sum").alias("sum"))
     before = lambda by, at: F.coalesce(F.sum("sum").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     heads = heads.select(F.col("src").alias("hs"), F.col("head").alias("hh"), before(["src"], "head").alias("offset"))
     offsets = parts.withColumn("inner", before(["src", "head"], "slice")).join(heads, F.col("src").eqNullSafe(F.col("hs")) & (F.col("head") == F.col("hh"))).select(F.col("src").alias("os"), F.col("slice").alias("oslice"), (F.col("inner") + F.col("offset")).alias("offset"))
-    running = F.coalesce(F.sum("size").over(Window.partitionBy("src", "slice").orderBy("key", "size", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    running = F.coalesce(F.sum(F.col("size") * F.col("k")).over(Window.partitionBy("src", "slice").orderBy("key", "size", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = sliced.withColumn("inside", running).join(offsets, F.col("src").eqNullSafe(F.col("os")) & (F.col("slice") == F.col("oslice"))).withColumn("start", F.col("inside") + F.col("offset"))
+    # a row for each copy, in chunks, which of very many copies go to several tasks
+    last = ((F.col("k") - 1) / CHUNK).cast("int")
+    placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
+    if most > 64 * CHUNK:
+        placed = placed.repartition("key", "chunk")
+    copy = F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("k").cast("int")) - 1)
+    placed = placed.withColumn("copy", F.explode(copy)).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
     budget = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - passes * F.col("source_size") - F.col("start")
@@ -84,7 +96,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 
 #: The same in SQL: a plain running sum over each source.
-SQL = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+SQL = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
 w AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
 u AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),

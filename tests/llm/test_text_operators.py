@@ -192,6 +192,14 @@ def test_chat_round_trip_of_hostile_texts(spark):
         assert (x.loss_chars, x.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_turns_that_end_in_a_backslash_are_escaped(spark):
+    """By the grammar a backslash takes the next character, so a plain text must not end in one."""
+    df = spark.createDataFrame([(1, 0, "user", "a\\"), (2, 0, "user", "a\\\\"), (3, 0, "us\\", "a"), (4, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.formatted for r in chat.format_conversations(df).collect()}
+    assert got == {1: "### user: a\\\\</turn>\n", 2: "### user: a\\\\\\\\</turn>\n", 3: "### us\\\\: a</turn>\n", 4: "### user: a</turn>\n"}
+    assert chat.format_conversations(df).where("not identical").count() == 0
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, None, None, None), (1, 2, "user", "b"), (1, 2, "user", "a"), (None, 0, "user", "x"), (2, 0, "user", "y" * 200_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
@@ -337,6 +345,20 @@ def test_mixing_budgets(spark):
     assert sorted(zip(got.doc_id, got.taken, strict=True)) == sorted(zip(again.doc_id, again.taken, strict=True))
 
 
+def test_mixing_of_very_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    rows = [(None, "w w w", "a")] * 900 + [(7, "x y", "a")] * 300 + [(i, "v " * (i % 9), "ab"[i % 2]) for i in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df.repartition(5)).toPandas()
+    assert len(got) == len(rows)
+    assert sorted(map(str, got.doc_id.dropna().astype(int))) == sorted(str(i) for i, _, _ in rows if i is not None)
+    for _, g in got.groupby("source"):
+        assert g.taken.sum() == int(g.target.iloc[0])
+        # the documents stand one behind another
+        at = g[g["size"] > 0].sort_values("start")
+        assert (at["start"].to_numpy() == (at["size"].cumsum() - at["size"]).to_numpy()).all()
+
+
 def test_mixing_odd_rows(spark):
     assert mixing.mix_sources(odd(spark)).count() == odd(spark).count()
     assert mixing.mix_sources(odd(spark).limit(0)).count() == 0
