@@ -4,7 +4,7 @@ Terms are the lower-cased words of a text and their first 4 and 5 bytes (endings
 sum(w_i) + sum over pairs <v_i, v_j> over its distinct terms, so two terms together (an insult and a mention of a group)
 can weigh more, or less, than each alone. No term is chosen by its label: every bucket that stands in at least
 MIN_SHARE of the sampled rows has a weight and factors, as a term may only tell beside another.
-It is fitted on the driver on at most MAX_SAMPLE labelled rows, chosen by a hash of the id, one text a row; the model is of a
+It is fitted in one task on at most MAX_SAMPLE labelled rows, chosen by a hash of the id, one text a row; the model is of a
 fixed size (BUCKETS by 1 + FACTORS floats at most) and is broadcast. Scoring reads whole texts.
 """
 
@@ -156,11 +156,26 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(term.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([found, batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i)], names=["terms", "label", "id"])
 
-    sample = rows.select("text", "label", F.xxhash64("id").alias("id")).mapInArrow(pick, "terms array<int>, label int, id long").toArrow()
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row, the machine. The sample is of a fixed size, so it meets in this one task and not on the driver."""
+        some = list(batches)
+        if some:
+            machine = trained(pa.Table.from_batches(some))
+            parts = {"number": machine.number.tobytes(), "weight": machine.weight.tobytes(), "factor": machine.factor.tobytes()}
+            yield pa.RecordBatch.from_pydict({"bias": pa.array([machine.bias]), **{k: pa.array([v], pa.binary()) for k, v in parts.items()}})
+
+    picked = rows.select("text", "label", F.xxhash64("id").alias("id")).mapInArrow(pick, "terms array<int>, label int, id long")
+    row = picked.repartition(1).mapInArrow(train, "bias double, number binary, weight binary, factor binary").first()
+    if row is None:
+        return Machine(np.full(BUCKETS, -1, np.int32), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
+    return Machine(np.frombuffer(row.number, np.int32), row.bias, np.frombuffer(row.weight), np.frombuffer(row.factor).reshape(-1, FACTORS))
+
+
+def trained(sample: pa.Table) -> Machine:
+    """The machine of a sample: terms (distinct buckets of a row), label and id."""
     # in the order of ids, whatever order the rows came in
     sample = sample.sort_by([("id", "ascending"), ("label", "ascending")])
     label, lists = sample["label"].to_numpy().astype(float), sample["terms"].combine_chunks()
-    del sample
     number = np.full(BUCKETS, -1, np.int32)
     if len(np.unique(label)) < 2:
         p = (label.sum() + 0.5) / (len(label) + 1)
