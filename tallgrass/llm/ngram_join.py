@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, least_of_component
@@ -202,24 +202,23 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = checkpoint(docs.mapInArrow(describe, f"id {kind}, s long, n int"))
     classes = rows.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("least"), F.count("*").alias("count"))
 
-    entries = Written(_postings(docs, "text", n, percent, _sketch(docs, "text", n)))
-    # entries that stand alone meet no other; the rest is small
-    often = entries.df.groupBy("token").count().where("count > 1").select("token")
+    # entries that stand alone meet no other; the rest is small. Of all entries there is one shuffle, and no table
+    entries = _postings(docs, "text", n, percent, _sketch(docs, "text", n))
+    often = entries.withColumn("entries", F.count("*").over(Window.partitionBy("token"))).where("entries > 1")
     node = F.struct("s", F.shiftright("nl", 3).cast("int").alias("n"))
-    met = Written(entries.df.join(often, "token").select("token", node.alias("node"), F.col("nl").bitwiseAND(7).cast("int").alias("l"), "p").distinct())
-    entries.drop()
+    met = Written(often.select("token", node.alias("node"), F.col("nl").bitwiseAND(7).cast("int").alias("l"), "p").distinct())
     # how many of a class's prefix entries are shared, as a part of all
     length = F.col("node.n") - F.ceil(F.col("node.n") * percent / 100) + F.col("l")
     hub = met.df.groupBy("node").agg((F.count("*") / F.max(length)).alias("hub"))
     scored = met.df.join(hub, "node")
     lists = scored.groupBy("token").agg(F.max(F.struct("hub", "node")).alias("top"), F.count("*").alias("c")).where("c > 1")
-    shared = checkpoint(met.df.join(lists.select("token", F.col("top.node").alias("pivot")), "token"))
+    shared = Written(met.df.join(lists.select("token", F.col("top.node").alias("pivot")), "token"))
     met.drop()
 
     # each class and the pivot with which it shares most
     fits = F.col("b.n") * 100 >= F.col("a.n") * percent
     pair = lambda x, y: F.when(F.struct(x["n"], x["s"]) >= F.struct(y["n"], y["s"]), F.struct(x.alias("a"), y.alias("b"))).otherwise(F.struct(y.alias("a"), x.alias("b")))
-    near = shared.where("node != pivot").groupBy("node", "pivot").count()
+    near = shared.df.where("node != pivot").groupBy("node", "pivot").count()
     near = near.groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")).select(pair(F.col("node"), F.col("pivot")).alias("p")).select("p.a", "p.b").where(fits)
     near = checkpoint(near.distinct())
 
@@ -244,14 +243,15 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         # rows of one id and copies of one text give a class's set more than once
         return texts.select("text").mapInArrow(emit, "s long, n int, hashes binary").groupBy(F.struct("s", "n").alias("node")).agg(F.first("hashes").alias("hashes"))
 
-    first = checkpoint(_verified(near, sets(near), percent))
+    first = Written(_verified(near, sets(near), percent))
     edge = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = connected_components(edge(first))
+    labels = connected_components(edge(first.df))
 
     # the full join, between classes of different labels
-    marked = shared.select("token", "node", "l", "p").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    marked = shared.df.select("token", "node", "l", "p").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("low != high").select("token", "parts")
     marked = checkpoint(marked.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")))
+    shared.drop()
     # a long list is dealt into parts, and any two parts (or one) are joined by themselves
     block = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     left = block.select("token", "low", "high", F.col("own").alias("oa"), F.col("node").alias("a"), F.col("l").alias("la"), F.col("p").alias("pa"), F.col("component").alias("ca"))
@@ -265,7 +265,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rest = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").select("a", "b")
     rest = checkpoint(rest.join(near, ["a", "b"], "left_anti"))
     second = _verified(rest, sets(rest), percent)
-    whole = connected_components(edge(first).union(edge(second)))
+    whole = connected_components(edge(first.df).union(edge(second)))
+    first.drop()
 
     # of a component of classes, the least id of all its rows
     member = classes.select(F.struct("s", "n").alias("node"), "least").join(whole, "node").select("node", "component", "least")

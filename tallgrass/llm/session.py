@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of a session: whether a query's shuffle files are deleted as soon as it ends. Where Spark knows no such setting they wait for the driver's garbage collector.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows above which a side is joined by shuffle and not broadcast (rows of two longs, about 70 bytes in a hash table: 35 MB).
 BROADCAST_ROWS = 500_000
 
@@ -29,13 +31,19 @@ def _shared_folder(spark: SparkSession) -> str:
 class Written:
     """df as a compressed columnar table in the shared folder; `df` reads it, drop() deletes it.
 
-    For large tables within an operator: a checkpoint of the same rows takes several times the room.
+    For large tables within an operator: a checkpoint of the same rows takes several times the room. The shuffle files
+    it was made from are deleted with the write.
     """
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{_shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        chosen = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, chosen)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

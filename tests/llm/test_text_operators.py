@@ -18,7 +18,8 @@ from tallgrass.llm import chat, language, license, mixing, pii, toxicity
 from tallgrass.llm.components import connected_components
 from tallgrass.llm.decontaminate import Matcher, find_contamination, remove_contamination
 from tallgrass.llm.language import predict_language
-from tallgrass.llm.ngram_join import ngram_jaccard_components
+from tallgrass.llm.ngram_join import _postings, _sketch, ngram_jaccard_components
+from tallgrass.llm.session import CLEANUP, Written
 from tallgrass.llm.toxicity import score_toxicity
 
 ODD = [None, "", " ", "one", "x" * 50_000, "a b " * 20_000, "é ß 😀", "\\", "</turn>", "\x00"]
@@ -112,6 +113,55 @@ def test_dealing_out_is_a_plain_join(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == jaccard_brute(rows, 4, 85)
 
 
+def stages(spark):
+    """Shuffle records written, by stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {x.stageId(): x.shuffleWriteRecords() for x in map(found.apply, range(found.size()))}
+
+
+def test_prefix_entries_are_shuffled_once_and_not_written(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(400))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    entries = _postings(docs, "text", 4, 85, _sketch(docs, "text", 4)).count()
+    written = []
+
+    class Noted(Written):
+        def __init__(self, df):
+            super().__init__(df)
+            written.append(self.df.count())
+
+    monkeypatch.setattr("tallgrass.llm.ngram_join.Written", Noted)
+    last = max(stages(spark))
+    got = ngram_jaccard_components(docs).collect()
+    assert sorted(map(tuple, got)) == [(i, 397, i) for i in range(300)]
+    records = sum(n for k, n in stages(spark).items() if k > last)
+    assert entries > 15_000
+    assert entries <= records < 1.6 * entries
+    assert sum(written) < 0.01 * entries
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = files.getAllFiles()
+        return {x for x in (found.apply(i).getName() for i in range(found.size())) if x.startswith("shuffle_")}
+
+    chosen, before = spark.conf.get(CLEANUP, None), shuffles()
+    table = Written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    for _ in range(50):  # they are deleted in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(CLEANUP, None) == chosen
+    assert table.df.agg(F.count("*"), F.sum("count")).first() == (10, 1000)
+    table.drop()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1), (7, 7), (1, 5), (None, 2)], "u long, v long")
     assert sorted(map(tuple, connected_components(edges).collect())) == [(1, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)]
