@@ -107,7 +107,8 @@ def mann_whitney(df: DataFrame, c: str, group: str, a: object, b: object, altern
     two = df.where(F.col(c).isNotNull() & F.col(group).isin(a, b))
     sizes = two.groupBy(c).agg(F.count_if(F.col(group) == a).alias("_a"), F.count("*").alias("_k"))
     upto = W.cumulative_global(sizes, "_k", c, "_upto")
-    m = upto.agg(F.sum(F.col("_a") * (F.col("_upto") - (F.col("_k") - 1) / 2)).alias("r1"), F.sum("_a").alias("n1"), (F.sum("_k") - F.sum("_a")).alias("n2"))
+    # counts as doubles: their threefold product passes a long from 3.4 million rows on
+    m = upto.agg(F.sum(F.col("_a") * (F.col("_upto") - (F.col("_k") - 1) / 2)).alias("r1"), F.sum("_a").cast("double").alias("n1"), (F.sum("_k") - F.sum("_a")).cast("double").alias("n2"))
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     m = m.withColumn("u1", u1).withColumn("u2", F.col("n1") * F.col("n2") - F.col("u1")).withColumn("u", F.least("u1", "u2"))
     middle = F.col("n1") * F.col("n2") / 2
@@ -121,7 +122,7 @@ def kruskal(df: DataFrame, c: str, group: str) -> DataFrame:
     known = df.where(F.col(c).isNotNull() & F.col(group).isNotNull())
     ranks = value_ranks(known, c).select(F.col(c).alias("_v"), "rank")
     sums = known.groupBy(c, group).agg(F.count("*").alias("_k")).join(ranks, F.col(c) == F.col("_v")).groupBy(group).agg(F.sum("_k").alias("n"), F.sum(F.col("_k") * F.col("rank")).alias("r"))
-    t = sums.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
+    t = sums.agg(F.sum("n").cast("double").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     h = F.try_divide(12 * F.col("s"), F.col("n") * (F.col("n") + 1)) - 3 * (F.col("n") + 1)
     return t.select(h.alias("h"), (F.col("k") - 1).cast("double").alias("dof")).withColumn("p", P.p_chi2(F.col("h"), F.col("dof")))
 
@@ -131,7 +132,8 @@ def wilcoxon(df: DataFrame, before: str, after: str, alternative: str = "two-sid
     d = df.select((F.col(before) - F.col(after)).alias("d")).where("d != 0")
     sizes = d.groupBy(F.abs("d").alias("_v")).agg(F.count_if(F.col("d") > 0).alias("_plus"), F.count("*").alias("_k"))
     upto = W.cumulative_global(sizes, "_k", "_v", "_upto").withColumn("rank", F.col("_upto") - (F.col("_k") - 1) / 2)
-    m = upto.agg(F.sum(F.col("_plus") * F.col("rank")).alias("w_plus"), F.sum((F.col("_k") - F.col("_plus")) * F.col("rank")).alias("w_minus"), F.sum("_k").alias("n"))
+    m = upto.agg(F.sum(F.col("_plus") * F.col("rank")).alias("w_plus"), F.sum((F.col("_k") - F.col("_plus")) * F.col("rank")).alias("w_minus"), F.sum("_k").cast("double").alias("n"))
+    # the cube of a count passes a long from 1.7 million rows on
     n, w = F.col("n"), F.least("w_plus", "w_minus")
     z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
     return m.select("w_plus", "w_minus", w.alias("w"), z.alias("z")).withColumn("p", P.p_normal(F.col("z"), alternative))

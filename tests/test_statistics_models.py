@@ -63,6 +63,17 @@ def test_tests_with_p_values(spark):
     assert X.mann_whitney(empty, "v", "g", "a", "b").first().u is None
 
 
+def test_rank_tests_of_millions_of_rows(spark):
+    n, plus = 1_700_000, 1_275_000
+    w = X.wilcoxon(spark.range(n).select(F.when(F.col("id") % 4 == 0, -1.0).otherwise(1.0).alias("x"), F.lit(0.0).alias("y")), "x", "y").first()
+    # all differences are as large, so each rank is (n + 1) / 2
+    assert (w.w_plus, w.w_minus) == (plus * (n + 1) / 2, (n - plus) * (n + 1) / 2)
+    assert near(w.z, ((n - plus) * (n + 1) / 2 - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+    m = 1_700_000
+    u = X.mann_whitney(spark.range(2 * m).select(F.when(F.col("id") < m, "a").otherwise("b").alias("g"), (F.col("id") % 2).cast("double").alias("v")), "v", "g", "a", "b").first()
+    assert u.u1 == u.u2 == m * m / 2 and near(u.z, 0.5 / math.sqrt(m * m * (2 * m + 1) / 12))
+
+
 def test_runs_friedman_and_corrections(spark):
     flags = spark.createDataFrame([(1, k, bool(int(c))) for k, c in enumerate("1100101")], "g int, k int, f boolean")
     assert X.runs_test(flags, "f", ["g"], ["k"]).first().runs == 5
