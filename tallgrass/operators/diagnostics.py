@@ -129,17 +129,35 @@ def variance_ratio(df: DataFrame, by: list[str], order: list[str], c: str) -> Da
     return s.select(*by, ratio.alias("variance_ratio")).withColumn("is_random_walk", (F.col("variance_ratio") > 0.8) & (F.col("variance_ratio") < 1.2))
 
 
+def _parts(df: DataFrame) -> DataFrame:
+    """df with _high and _low, which add up to _x: _high is a multiple of a power of two, so large that sums of _high are exact.
+
+    _bound is at least the sum of |_x| over the rows to be summed. Out of the range of such powers _high is _x itself.
+    """
+    fits = (F.col("_bound") > 1e-270) & (F.col("_bound") < 1e300)
+    unit = F.when(fits, F.pow(F.lit(2.0), F.ceil(F.log2("_bound")) - 51))
+    high = F.coalesce(F.rint(F.col("_x") / F.col("_unit")) * F.col("_unit"), F.col("_x"))
+    split = df.withColumn("_unit", unit).withColumn("_high", high)
+    return split.withColumn("_low", F.when(F.col("_unit").isNull(), 0.0).otherwise(F.col("_x") - F.col("_high"))).drop("_unit")
+
+
 def mean_shifts(df: DataFrame, by: list[str], order: list[str], c: str, prior_scale: float = 0.01) -> DataFrame:
     """by, order, score and is_change: at each row, how far the mean before it is from the mean from it on.
 
     A change is a score above ten times the prior's scale. The first two and last two rows of a series have score 0.
+    Sums do not gather rounding errors along a series: they are taken of parts that add up exactly.
     """
     kept, w = _series(df, by, order, c)
-    whole = kept.groupBy(*by).agg(F.sum("_x").alias("_total"), F.count("*").alias("_n"))
-    before = kept.withColumns({"_i": F.row_number().over(w) - 1, "_upto": F.sum("_x").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    every, past = Window.partitionBy(*by), w.rowsBetween(Window.unboundedPreceding, -1)
+    # the ordered window comes first, so that its sort serves them all
+    placed = kept.withColumn("_i", F.row_number().over(w) - 1).withColumns({"_n": F.count("*").over(every), "_bound": F.max(F.abs("_x")).over(every) * F.count("*").over(every)})
+    summed = _parts(placed).withColumns({"_all_high": F.sum("_high").over(every), "_all_low": F.sum("_low").over(every)})
+    before = summed.withColumns({"_upto_high": F.sum("_high").over(past), "_upto_low": F.sum("_low").over(past)})
     i, n = F.col("_i"), F.col("_n")
-    score = F.when((i >= 2) & (i < n - 2), F.abs(F.col("_upto") / i - (F.col("_total") - F.col("_upto")) / (n - i))).otherwise(0.0)
-    return before.join(whole, by).select(*by, *order, score.alias("score")).withColumn("is_change", F.col("score") > 10 * prior_scale)
+    upto = F.col("_upto_high") + F.col("_upto_low")
+    rest = (F.col("_all_high") - F.col("_upto_high")) + (F.col("_all_low") - F.col("_upto_low"))
+    score = F.when((i >= 2) & (i < n - 2), F.abs(upto / i - rest / (n - i))).otherwise(0.0)
+    return before.select(*by, *order, score.alias("score")).withColumn("is_change", F.col("score") > 10 * prior_scale)
 
 
 def permutation_test(df: DataFrame, c: str, group: str, a: object, b: object, key: str, permutations: int = 200, seed: int = 0, alternative: str = "two-sided") -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -98,6 +99,17 @@ def test_diagnostics_at_their_edges(spark):
     assert X.kpss(df.limit(0), ["g"], ["t"], "v").count() == 0
 
 
+def test_mean_shifts_sum_without_rounding_errors(spark):
+    values = [1e16, 1.0, -1e16, 1.0, 1.0, 1.0, 1.0, 1.0]
+    # far off the range of the parts: sums of doubles as they are
+    odd = [("tiny", k, 1e-300 * (k > 3)) for k in range(8)] + [("nan", k, float("nan")) for k in range(8)] + [("zero", k, 0.0) for k in range(8)] + [("huge", k, 2.0**1015) for k in range(8)]
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)] + odd, "g string, t int, v double")
+    got = {(x.g, x.t): x.score for x in X.mean_shifts(df, ["g"], ["t"], "v").collect()}
+    exact = [Fraction(v) for v in values]
+    assert all(math.isclose(got["a", i], abs(sum(exact[:i]) / i - sum(exact[i:]) / (8 - i)), rel_tol=1e-15) for i in range(2, 6))
+    assert got["tiny", 4] == 1e-300 and math.isnan(got["nan", 4]) and got["zero", 4] == 0 and got["huge", 4] == 0 and len(got) == 40
+
+
 def test_permutation(spark):
     rows = [(i, "a" if i < 12 else "b", float(i % 5 + (3 if i < 12 else 0))) for i in range(24)]
     df = spark.createDataFrame(rows, "k int, g string, v double")
