@@ -165,6 +165,23 @@ def _leaf_bytes(df: DataFrame) -> int:
     return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
 
 
+#: Of larger tables each task of a join in parts gets about this much of the files.
+PART_BYTES = 8 << 20
+
+
+def join_in_parts(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """An inner join whose rows lie in parts by the key: what is grouped by the key and more is grouped where it lies.
+
+    The number of parts grows with the larger table that is read. By the planner's own size of a part, which is of compressed
+    rows, a task may get millions of them to sort and group.
+    """
+    size = max(_leaf_bytes(left), _leaf_bytes(right))
+    if size > ONE_TASK_BYTES:
+        parts = max(-(-size // PART_BYTES), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        left, right = left.repartition(parts, left_key), right.repartition(parts, right_key)
+    return left.join(right, F.col(left_key) == F.col(right_key))
+
+
 def _rank_all(df: DataFrame, c: str, out: str, method: str, ties: list[str], pct: bool, ascending: bool) -> DataFrame:
     """rank without groups: distinct values are numbered by slices and offsets, so that no task holds them all."""
     sign = F.lit(1) if ascending else F.lit(-1)

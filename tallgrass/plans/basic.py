@@ -298,7 +298,8 @@ def days_in_month_leap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows, CAST(sum((SELECT count(*) FROM generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + INTERVAL 10 DAY, INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6)) AS BIGINT) AS days FROM (SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY ALL")
 def business_day_count(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, orders = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    df = M.join_in_parts(lines, orders, "l_orderkey", "o_orderkey")
     d = F.col("o_orderdate").cast("date")
     return df.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_rows"), F.sum(D.business_days(d, F.date_add(d, 10))).cast("long").alias("days"))
 

@@ -48,6 +48,17 @@ def test_query_is_its_sql_twin(spark, db, name):
     assert all(same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_business_days_in_parts_by_size(spark, monkeypatch):
+    query = registry.QUERIES["business_day_count"]
+    whole = sorted(map(tuple, query(spark, SF).collect()))
+    monkeypatch.setattr(M, "ONE_TASK_BYTES", 1 << 10)
+    monkeypatch.setattr(M, "PART_BYTES", 10 << 10)
+    df = query(spark, SF)
+    # about 116 KB of lineitem
+    assert df.rdd.getNumPartitions() >= 10
+    assert sorted(map(tuple, df.collect())) == whole
+
+
 def test_merges(spark):
     a = spark.createDataFrame([(1, "Alice"), (2, "Bob"), (3, "Charlie"), (4, "Dave")], "id long, name string")
     b = spark.createDataFrame([(1, 100), (2, 200), (5, 500), (6, 600)], "id long, value long")
