@@ -168,18 +168,12 @@ def hits(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6) ->
 # --- distances ---
 
 
-#: Vertices above which distances between all pairs are refused.
-ALL_PAIRS = 100_000
-
-
 def distances_from(edges: DataFrame, starts: DataFrame | None = None, directed: bool = True, limit: int | None = None) -> DataFrame:
     """start, id and distance in edges for all vertices reached from each start (all vertices by default), up to a limit if given.
 
-    One row per pair that is reached: with many starts that is for small graphs. Without starts a graph of more than ALL_PAIRS
-    vertices is refused.
+    One row per pair that is reached, on disk and dealt over all tasks: a tree's are few, but where most vertices reach each
+    other they grow with the square of the vertices.
     """
-    if starts is None and vertices(edges).count() > ALL_PAIRS:
-        raise ValueError(f"more than {ALL_PAIRS} vertices: name the starts")
     e = _cut(edges.select("src", "dst").distinct() if directed else undirected(edges))
     chosen = vertices(edges) if starts is None else starts.select("id").distinct()
     seen = front = _cut(chosen.select(F.col("id").alias("start"), "id", F.lit(0).alias("distance")))

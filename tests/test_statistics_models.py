@@ -118,6 +118,13 @@ def test_paths_of_more_than_100_edges(spark):
     assert got.keys() == want.keys() and all(near(got[i], want[i]) for i in want)
 
 
+def test_closeness_of_more_than_100000_vertices(spark):
+    n = 100_001
+    star = spark.range(1, n + 1).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
+    c = G.closeness(star).agg(F.count("*").alias("n"), F.count_if(F.col("closeness") == 1 / n).alias("spokes"), F.count_if(F.col("closeness") == 0).alias("hub")).first()
+    assert (c.n, c.spokes, c.hub) == (n + 1, n, 1)
+
+
 def test_graph_against_brute_force(spark):
     r = random.Random(3)
     n = 9
